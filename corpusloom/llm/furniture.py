@@ -123,7 +123,7 @@ _WHOLE = re.compile("(?:" + "|".join(WHOLE_LINES) + r")\Z")
 _RELATED_FROM = re.compile(RELATED_FROM + r"\Z")
 _SPLIT = re.compile(r" ?\| ?| {2,}| ?> ?| ?› ?| ?» ?| ?· ?| ?/ ?|, | - ")
 _BULLET = re.compile(r"[*\-•·–] +")
-_CHOICES = re.compile(r" ?\| ?")
+_NO_TITLE = re.compile(r"[|\t@;,\d#\[\]]|http|  ")
 _SENTENCE_END = tuple(".!?…\"”“»)'’:;")
 
 BODY, FURNITURE, RELATED_HEAD = 0, 1, 2
@@ -156,13 +156,13 @@ def wording(line: str) -> int:
 
 
 def title_like(line: str, longest: int = 80, most_words: int = 11) -> bool:
-    """Whether a line can be an entry of a related block: short, no sentence, no
-    entry or cell mark."""
+    """Whether a line can be an entry of a related block: a few words that begin
+    with a capital, no sentence, no mark of an entry or a cell."""
     if len(line) > longest or line.endswith(_SENTENCE_END):
         return False
-    if line.count(" ") >= most_words or not line[0].isalpha():
+    if not 1 <= line.count(" ") < most_words or not (line[0].isupper() or line[0] in "«“\""):
         return False
-    return not ("|" in line or "\t" in line or "http" in line or "@" in line or "  " in line or ";" in line)
+    return not _NO_TITLE.search(line)
 
 
 def furniture_flags(lines: list[str], title: str | None = None, most_related: int = 5) -> list[bool]:
