@@ -132,22 +132,21 @@ def _symbolic(line: str, n: int, letters: int, words: list[str]) -> bool:
     return False
 
 
-def stuffing(words: list[str], common: frozenset[str]) -> tuple[float, float]:
-    """Share of the three most frequent content words among content words, and
-    share of common words among all words.  Empty input gives (0, 0)."""
-    if not words:
-        return 0.0, 0.0
-    content = [w for w in words if w not in common and len(w) > 2]
-    if not content:
-        return 0.0, 1.0
-    top = Counter(content).most_common(3)
-    return sum(c for _, c in top) / len(content), 1 - len(content) / len(words)
+_TERM = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
+
+
+def stuffing(words: list[str]) -> float:
+    """Share of the three most frequent terms among the words of three letters
+    and more; 0 for no words."""
+    terms = [w for w in words if len(w) > 2]
+    return sum(c for _, c in Counter(terms).most_common(3)) / len(terms) if terms else 0.0
 
 
 #: Fixed thresholds of the combined rules of `page_form`.
 MOST = 0.5  # share of the body's characters that decides its form
-STUFFED_TOP = 0.34  # share of the three top terms among content words, from which a text of bare terms is stuffing
-BARE = 0.12  # share of common words below which a text consists of bare terms
+STUFFED_TOP = 0.42  # share of the three top terms from which lines of bare terms are stuffing
+STUFFED_WORDS = 12  # words of bare lines below which nothing is called stuffing
+BARE = 0.1  # share of common words below which a line consists of bare terms
 TITLE_WORDS = 6.2  # mean words a line below which unmarked lines are entries, not sentences
 
 
@@ -162,9 +161,17 @@ def page_form(body: list[str], common: frozenset[str]) -> tuple[str, dict[str, f
         return "empty", {}
     chars: Counter[str] = Counter()
     count: Counter[str] = Counter()
-    loose_words = loose_lines = 0
+    loose_words = loose_lines = bare_chars = n_words = n_common = 0
+    bare: list[str] = []
     for line in body:
         form = line_form(line)
+        words = _TERM.findall(line.lower())
+        shared = sum(w in common for w in words)
+        n_words += len(words)
+        n_common += shared
+        if form not in (ENTRY, CELLS, JUNK) and len(words) >= 2 and shared < BARE * len(words):
+            bare += words
+            bare_chars += len(line)
         if form in (PROSE, HEADING) and not _SENTENCE_END.search(line):
             loose_lines += 1
             loose_words += line.count(" ") + 1
@@ -173,11 +180,9 @@ def page_form(body: list[str], common: frozenset[str]) -> tuple[str, dict[str, f
         chars[form] += len(line)
         count[form] += 1
     total = sum(chars.values())
-    text = " ".join(body).lower()
-    words = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", text)
-    top, shared = stuffing(words, common)
-    shares = {"top": top, "common": shared, **{f: c / total for f, c in chars.items()}}
-    if shared < BARE and top >= STUFFED_TOP and len(words) >= 12 and chars[JUNK] + chars[CELLS] < MOST * total:
+    top = stuffing(bare)
+    shares = {"top": top, "bare": bare_chars / total, "common": n_common / n_words if n_words else 0.0, **{f: c / total for f, c in chars.items()}}
+    if bare_chars > MOST * total and top >= STUFFED_TOP and len(bare) >= STUFFED_WORDS:
         return "keywords", shares
     entries = chars[ENTRY] + chars[LABELS]
     prose = chars[PROSE]
