@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .furniture import furniture_flags
 from .lineforms import page_form
-from .tables import common_words, table
+from .tables import common_words, slices, table
 
 STATISTICS_SCHEMA = (
     "doc_id long, n_words long, n_chars long, n_lines long, mean_word_length double, symbol_ratio double, "
@@ -92,7 +92,7 @@ def statistics(text: str | None, common: frozenset[str]) -> tuple:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], schema: pa.Schema, per_row) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         columns = [c.to_pylist() for c in batch.columns]
         out = [x for row in zip(*columns) for x in per_row(*row)]
         arrays = [pa.array(c, t) for c, t in zip(zip(*out), schema.types)] if out else [pa.array([], t) for t in schema.types]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ..plans.staging import staged
 from .furniture import furniture_flags
 from .lineforms import page_form
-from .tables import small_rows, table
+from .tables import slices, small_rows, table
 
 FEATURES = ["link_density", "label_density", "entropy", "repetition", "function_words", "marked"]
 #: Scatter every feature has at least: most pages share the value 0 of some of them.
@@ -126,7 +126,7 @@ def page_features(pages: DataFrame, words: dict[str, list[str]]) -> DataFrame:
     common = frozenset(languages)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in _ARROW]
             for page_id, url, title, content in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = (content or "").split("\n")
@@ -249,7 +249,8 @@ def spam_pages(pages: DataFrame, links: DataFrame, words: dict[str, list[str]])
     direction of a kind, with most of its body of that kind.  Of several, links
     come before labels and labels before keywords.  Pages without body are none.
     """
-    features = staged(with_links(page_features(pages, words), links), "spam-features")
+    measured = staged(page_features(pages, words), "spam-measured")
+    features = staged(with_links(measured, links).drop("entry_keys", "entry_chars"), "spam-features")
     scored = with_distance(features, robust_scatter(features)).where(F.col("distance") > CUTOFF)
     kind = (
         F.when((F.col("d_link_density") > 0) & (F.col("link_density") > MOST), "links")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +27,11 @@ def common_words(spark: SparkSession, sf_dir: str) -> frozenset[str]:
     """The common words of all languages, lower case."""
     df = table(spark, sf_dir, "common_words").select("word")
     return frozenset(r.word.lower() for r in small_rows(df) if r.word)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches of an Arrow stage in pieces, so that what Python makes of a
+    batch stays small however large the session's batches are."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
