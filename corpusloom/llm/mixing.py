@@ -15,13 +15,16 @@ domain.
 3. Each leaf takes as many whole epochs as fit its budget, and of one more epoch
    the token prefix of a seeded order.  The prefix is found in parallel: tokens
    are summed per leaf and hash bucket, buckets before the border are taken
-   whole, and only the bucket on the border is sorted.
+   whole, and only the documents next to the border are sorted; among them a
+   text that is too long for the rest is passed over.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,7 @@ from .tables import small_rows, table
 from .tokens import token_sizes
 
 BUCKETS = 4096  # hash buckets of a leaf's order
+CHOICE = 2000  # documents from the border on, in whole buckets, among which the end of a prefix is chosen
 SEED = 20_24
 
 
@@ -104,7 +108,7 @@ def mixture(documents: DataFrame, weights: DataFrame, total_tokens: int | None =
         .withColumn("bucket", F.pmod(F.shiftright("place", 40), F.lit(BUCKETS)).cast("int")), "sized"
     )
     leaf = ["domain", "lang", "source"]
-    per_bucket = staged(sized.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("tokens")), "buckets")
+    per_bucket = staged(sized.groupBy(*leaf, "bucket").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "buckets")
     totals = {(r.domain, r.lang, r.source): int(r.tokens) for r in small_rows(per_bucket.groupBy(*leaf).agg(F.sum("tokens").alias("tokens")))}
     of_source: dict[str, int] = defaultdict(int)
     for (_, _, source), tokens in totals.items():
@@ -120,16 +124,40 @@ def mixture(documents: DataFrame, weights: DataFrame, total_tokens: int | None =
     spark = documents.sparkSession
     planned = F.broadcast(spark.createDataFrame(plan, "domain string, lang string, source string, epochs long, rest double"))  # one row a leaf
     ordered = Window.partitionBy(*leaf).orderBy("bucket")
-    borders = per_bucket.withColumn("until", F.sum("tokens").over(ordered)).join(planned, leaf)
-    borders = borders.select(*leaf, "bucket", "epochs", "rest", (F.col("until") - F.col("tokens")).alias("before"), "until")
-    placed = sized.join(borders, [*leaf, "bucket"])
-    whole = placed.where("until <= rest or before >= rest").withColumn("more", (F.col("until") <= F.col("rest")).cast("long"))
-    # the bucket on the border: a document is taken if the border lies beyond its middle
-    inside = Window.partitionBy(*leaf, "bucket").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    border = placed.where("until > rest and before < rest").withColumn("reached", F.col("before") + F.sum("n_tokens").over(inside))
-    border = border.withColumn("more", (F.col("reached") - F.col("n_tokens") / 2 <= F.col("rest")).cast("long"))
-    columns = ["source", "doc_id", "n_tokens", (F.col("epochs") + F.col("more")).alias("repeats")]
-    return whole.select(*columns).unionByName(border.select(*columns)).where("repeats > 0")
+    whole_leaf = Window.partitionBy(*leaf)
+    borders = per_bucket.join(planned, leaf).withColumns({"before": F.sum("tokens").over(ordered) - F.col("tokens"), "docs_before": F.sum("docs").over(ordered) - F.col("docs")})
+    borders = borders.withColumns({
+        "start": F.max(F.when(F.col("before") < F.col("rest"), F.col("before"))).over(whole_leaf),
+        "docs_start": F.max(F.when(F.col("before") < F.col("rest"), F.col("docs_before"))).over(whole_leaf),
+    }).withColumn(
+        "state",
+        F.when(F.col("start").isNull() | (F.col("docs_before") >= F.col("docs_start") + CHOICE), "out").when(F.col("docs_before") < F.col("docs_start"), "in").otherwise("border"),
+    )
+    placed = sized.join(borders.select(*leaf, "bucket", "epochs", "rest", "start", "state"), [*leaf, "bucket"])
+    columns = ["source", "doc_id", "n_tokens", "repeats"]
+    whole = placed.where("state != 'border'").withColumn("repeats", F.col("epochs") + F.when(F.col("state") == "in", 1).otherwise(0)).select(*columns)
+    border = placed.where("state = 'border'").select(*leaf, "doc_id", "n_tokens", "place", "epochs", (F.col("rest") - F.col("start")).alias("rest"))
+    chosen = border.groupBy(*leaf).applyInArrow(_prefix, "source string, doc_id long, n_tokens long, repeats long")
+    return whole.unionByName(chosen).where("repeats > 0")
+
+
+def _prefix(border: pa.Table) -> pa.Table:
+    """Prefix of the documents at a leaf's border: in seeded order, each that
+    still fits; at the end the smallest skipped one if that comes nearer."""
+    border = border.sort_by([("place", "ascending"), ("doc_id", "ascending")])
+    sizes = border.column("n_tokens").to_numpy()
+    room = border.column("rest")[0].as_py()
+    more = np.zeros(len(sizes), dtype=np.int64)
+    for i, size in enumerate(sizes):
+        if 0 < size <= room:
+            more[i] = 1
+            room -= size
+    skipped = np.flatnonzero((more == 0) & (sizes > 0))
+    if len(skipped) and room > 0:
+        i = skipped[np.argmin(sizes[skipped])]
+        more[i] = int(sizes[i] - room < room)
+    repeats = border.column("epochs").to_numpy() + more
+    return pa.table({"source": border.column("source"), "doc_id": border.column("doc_id"), "n_tokens": border.column("n_tokens"), "repeats": pa.array(repeats, pa.int64())})
 
 
 def shares(mixed: DataFrame, weights: DataFrame) -> DataFrame:
