@@ -113,12 +113,24 @@ def mixture(documents: DataFrame, weights: DataFrame, total_tokens: int | None =
     of_source: dict[str, int] = defaultdict(int)
     for (_, _, source), tokens in totals.items():
         of_source[source] += tokens
-    leaves = {p: (listed[p[2]][0] * t / of_source[p[2]], float(t * listed[p[2]][1])) for p, t in totals.items() if t}
-    leaves |= {(name.rpartition(".")[2], "und", name): (share, 0.0) for name, (share, _) in listed.items() if not of_source[name] and share > 0}
+    everything = sum(share for share, _ in listed.values())
     if total_tokens is None:
-        everything = sum(share for share, _ in listed.values())
         reach = [of_source[name] * most * everything / share for name, (share, most) in listed.items() if of_source[name] and share > 0 and most > 0]
         total_tokens = min(reach, default=0)
+    # a leaf whose texts are all longer than its part of the budget leaves it to the other languages of its source
+    part = {p: total_tokens * listed[p[2]][0] / everything * t / of_source[p[2]] for p, t in totals.items() if t}
+    parts = F.broadcast(sized.sparkSession.createDataFrame([(*p, b) for p, b in part.items()], "domain string, lang string, source string, part double"))
+    fits = {(r.domain, r.lang, r.source): float(r.tokens or 0) for r in small_rows(sized.join(parts, leaf).groupBy(*leaf).agg(F.sum(F.when(F.col("n_tokens") <= F.col("part"), F.col("n_tokens"))).alias("tokens")))}
+    leaves: dict[tuple, tuple[float, float]] = {}
+    for name, (share, most) in listed.items():
+        own = {p: (float(totals[p]), totals[p] * most if part[p] >= totals[p] else fits[p]) for p in part if p[2] == name}
+        aimed = budgets(own, sum(part[p] for p in own)) if own else {}
+        placed_part = sum(aimed.values())
+        for p in own:
+            weight = share * (aimed[p] / placed_part if placed_part else totals[p] / of_source[name])
+            leaves[p] = (weight, float(totals[p] * most))
+        if not own and share > 0:
+            leaves[name.rpartition(".")[2], "und", name] = (share, 0.0)
     given = {p: b for p, b in budgets(leaves, float(total_tokens)).items() if p in totals}
     plan = [(*p, int(b // totals[p]) if b else 0, float(b - (b // totals[p]) * totals[p])) for p, b in given.items()]
     spark = documents.sparkSession
