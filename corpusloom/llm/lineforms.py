@@ -150,28 +150,32 @@ BARE = 0.1  # share of common words below which a line consists of bare terms
 TITLE_WORDS = 6.2  # mean words a line below which unmarked lines are entries, not sentences
 
 
-def page_form(body: list[str], common: frozenset[str]) -> tuple[str, dict[str, float]]:
+def page_form(body: list[str], common: frozenset[str]) -> tuple[str, dict[str, float], list[str]]:
     """Form of a page by its stripped, non-blank body lines: `prose`, `list`,
     `table`, `junk`, `keywords` (stuffing, which counts as junk) or `empty`.
 
-    Returns the form and the shares it was decided by.  `common` are the
-    common words of all languages, lower case.
+    Returns the form, the shares it was decided by, and the form of each line.
+    `common` are the common words of all languages, lower case.
     """
     if not body:
-        return "empty", {}
+        return "empty", {}, []
+    forms: list[str] = []
     chars: Counter[str] = Counter()
     count: Counter[str] = Counter()
     loose_words = loose_lines = bare_chars = n_words = n_common = 0
     bare: list[str] = []
     for line in body:
         form = line_form(line)
-        words = _TERM.findall(line.lower())
-        shared = sum(w in common for w in words)
+        forms.append(form)
+        words = line.lower().split()
+        shared = sum(map(common.__contains__, words))
         n_words += len(words)
         n_common += shared
-        if form not in (ENTRY, CELLS, JUNK) and len(words) >= 2 and shared < BARE * len(words):
-            bare += words
-            bare_chars += len(line)
+        if shared < BARE * len(words) and form not in (ENTRY, CELLS, JUNK):
+            terms = _TERM.findall(line.lower())
+            if len(terms) >= 2 and sum(map(common.__contains__, terms)) < BARE * len(terms):
+                bare += terms
+                bare_chars += len(line)
         if form in (PROSE, HEADING) and not _SENTENCE_END.search(line):
             loose_lines += 1
             loose_words += line.count(" ") + 1
@@ -183,7 +187,7 @@ def page_form(body: list[str], common: frozenset[str]) -> tuple[str, dict[str, f
     top = stuffing(bare)
     shares = {"top": top, "bare": bare_chars / total, "common": n_common / n_words if n_words else 0.0, **{f: c / total for f, c in chars.items()}}
     if bare_chars > MOST * total and top >= STUFFED_TOP and len(bare) >= STUFFED_WORDS:
-        return "keywords", shares
+        return "keywords", shares, forms
     entries = chars[ENTRY] + chars[LABELS]
     prose = chars[PROSE]
     marked = entries + chars[CELLS] + chars[JUNK] + prose
@@ -197,4 +201,4 @@ def page_form(body: list[str], common: frozenset[str]) -> tuple[str, dict[str, f
         entries += unmarked if count[HEADING] >= 3 else 0
         prose += unmarked if count[HEADING] < 3 else 0
     best = max((prose, "prose"), (entries, "list"), (chars[CELLS], "table"), (chars[JUNK], "junk"))
-    return best[1], shares
+    return best[1], shares, forms

@@ -130,7 +130,7 @@ def kind_of(text: str, title: str | None, common: frozenset[str]) -> str | None:
     the repetition statistics turn repeated bare terms into junk."""
     lines = text.split("\n")
     body = [s for line, furniture in zip(lines, furniture_flags(lines, title)) if not furniture and (s := line.strip())]
-    form, shares = page_form(body, common)
+    form, shares, _ = page_form(body, common)
     if form in ("prose", "empty"):
         if form == "prose" and shares["common"] < 0.1 and len(body) > 2:
             words = " ".join(body).lower().split()

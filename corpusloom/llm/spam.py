@@ -132,7 +132,7 @@ def page_features(pages: DataFrame, words: dict[str, list[str]]) -> DataFrame:
                 lines = (content or "").split("\n")
                 body = [s for line, f in zip(lines, furniture_flags(lines, title)) if not f and (s := line.strip())]
                 total = sum(map(len, body))
-                form, shares = page_form(body, common)
+                form = page_form(body, common)[0]
                 tokens = _TERM.findall(" ".join(body).lower())
                 counts = Counter(tokens)
                 n = len(tokens)
