@@ -29,10 +29,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_own: dict[str, str] = {}
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """Folder of this application below the shared folder.  Its file system
+    removes it when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        folder = os.path.join(shared_folder(spark), "corpusloom", app)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _own[app] = folder
+    return _own[app]
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing has used."""
+    return os.path.join(_own_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
 def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """`df` written to the shared folder and read back: its lineage ends here."""
     spark = df.sparkSession
-    path = os.path.join(shared_folder(spark), "corpusloom", f"{name}-{uuid.uuid4().hex}")
+    path = fresh_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
