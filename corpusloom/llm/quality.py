@@ -180,7 +180,7 @@ QUERIES = {"p1_found": p1_found, "p1_text_statistics": p1_text_statistics, "p1_w
 SQL = {
     "p1_word_counts": """
         SELECT id AS page_id, word_count AS stored,
-               CAST(len(list_filter(regexp_split_to_array(content, '\\s+'), w -> w <> '')) AS BIGINT) AS counted
+               CAST(len([w for w in regexp_split_to_array(content, '\\s+') if w <> '']) AS BIGINT) AS counted
         FROM indexed_pages
     """,
 }
