@@ -30,13 +30,18 @@ def write_content(pages: DataFrame, folder: str, session: str = "session_id") ->
 def read_content(spark: SparkSession, path: str) -> DataFrame:
     """Page records of JSON lines files.  Blank lines are no records; lines that
     are no JSON are left out; missing fields are null."""
-    rows = spark.read.schema(CONTENT).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    return _records(spark.read.text(path)).drop("_file")
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = lines.where(F.trim("value") != "").select(F.from_json("value", CONTENT, options).alias("r"), F.input_file_name().alias("_file"))
+    return parsed.where("r is not null and r._corrupt_record is null").select("r.*", "_file").drop("_corrupt_record")
 
 
 def read_all_content(spark: SparkSession, folder: str, pattern: str = "content_*.jsonl") -> DataFrame:
     """Records of all sessions' files, with the session the file name gives."""
-    rows = read_content(spark, os.path.join(folder, pattern)).withColumn("_file", F.input_file_name())
+    rows = _records(spark.read.text(os.path.join(folder, pattern)))
     return rows.withColumn("session_id", F.expr("try_cast(regexp_extract(_file, 'content_([0-9]+)\\\\.jsonl', 1) as bigint)")).drop("_file")
 
 
