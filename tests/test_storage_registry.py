@@ -2,11 +2,12 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from corpusloom import registry
 from corpusloom.sources import storage
 
+from .conftest import rows
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -41,9 +42,7 @@ def test_stored_change_log_is_reproduced(spark):
     stored = storage.deduplicated(storage.load(spark, DATA, "content_changes"))
     found = registry.changes_diff(spark, DATA)
     for columns, which in ((["url", "old_version_id", "new_version_id", "change_type"], "true"), (["new_version_id", "added_lines", "removed_lines", "change_percent"], "change_type = 'added'")):
-        ours, theirs = found.where(which).select(*columns), stored.where(which).select(*columns)
-        assert ours.exceptAll(theirs).count() == 0
-        assert theirs.exceptAll(ours).count() == 0
+        assert rows(found.where(which), *columns) == rows(stored.where(which), *columns)
 
 
 def test_entry_points():
