@@ -173,6 +173,9 @@ def pack(sizes: DataFrame, capacities: list[int]) -> DataFrame:
     if any(not 1 <= c <= LARGEST_CAPACITY for c in capacities):
         raise ValueError(f"capacities must lie between 1 and {LARGEST_CAPACITY}")
     capacities = sorted(set(capacities))
+    sizes = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    if not capacities:
+        return sizes.sparkSession.createDataFrame([], PACKED)
     items = staged(pieces(sizes, capacities).withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)).cast("int")), "pieces")
     counts = staged(items.groupBy("capacity", "size", "salt").agg(F.count("*").alias("n")), "piece-counts")
     histogram: dict[int, dict[int, int]] = {c: {} for c in capacities}
