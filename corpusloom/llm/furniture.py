@@ -127,6 +127,7 @@ _NO_TITLE = re.compile(r"[|\t@;,\d#\[\]]|http|  ")
 _SENTENCE_END = tuple(".!?…\"”“»)'’:;")
 
 BODY, FURNITURE, RELATED_HEAD = 0, 1, 2
+LEAST_RELATED = 2  # titles a related block has at least
 
 
 @lru_cache(maxsize=65536)
@@ -160,7 +161,8 @@ def title_like(line: str, longest: int = 80, most_words: int = 11) -> bool:
     with a capital, no sentence, no mark of an entry or a cell."""
     if len(line) > longest or line.endswith(_SENTENCE_END):
         return False
-    if not 1 <= line.count(" ") < most_words or not (line[0].isupper() or line[0] in "«“\""):
+    blanks = line.count(" ")
+    if blanks >= most_words or not (blanks or "'" in line or "’" in line) or not (line[0].isupper() or line[0] in "«“\""):
         return False
     return not _NO_TITLE.search(line)
 
@@ -170,7 +172,8 @@ def furniture_flags(lines: list[str], title: str | None = None, most_related: in
 
     `lines` are the raw lines.  A related block is its heading and at most
     `most_related` title-like lines after it; it ends at a blank line, at a
-    sentence, at the page's own title and at any other furniture.  An empty
+    sentence, at any other furniture and, after the first `LEAST_RELATED`, at the
+    page's own title.  An empty
     page gives an empty list.
     """
     out = [False] * len(lines)
@@ -188,7 +191,8 @@ def furniture_flags(lines: list[str], title: str | None = None, most_related: in
             out[i] = True
             room = most_related
         elif room:
-            if line != title and title_like(line):
+            # the page's own title may be among the related ones, but not after the block
+            if title_like(line) and (line != title or room > most_related - LEAST_RELATED):
                 out[i] = True
                 room -= 1
             else:

@@ -145,7 +145,7 @@ def stuffing(words: list[str]) -> float:
 #: Fixed thresholds of the combined rules of `page_form`.
 MOST = 0.5  # share of the body's characters that decides its form
 STUFFED_TOP = 0.42  # share of the three top terms from which lines of bare terms are stuffing
-STUFFED_WORDS = 12  # words of bare lines below which nothing is called stuffing
+STUFFED_WORDS = 36  # words of bare lines below which nothing is called stuffing
 BARE = 0.1  # share of common words below which a line consists of bare terms
 TITLE_WORDS = 6.2  # mean words a line below which unmarked lines are entries, not sentences
 

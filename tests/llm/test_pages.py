@@ -56,7 +56,7 @@ def test_page_form():
     assert page_form([PROSE, PROSE], COMMON)[0] == "prose"
     assert page_form(["Heading here", "* one", "* two", "* three"], COMMON)[0] == "list"
     assert page_form(["| a | b |", "| 1 | 2 | 3 |", "| 1 | 2 | 3 |"], COMMON)[0] == "table"
-    assert page_form(["cheap lamp best lamp buy lamp lamp sale lamp new lamp offer lamp top lamp"] * 2, COMMON)[0] == "keywords"
+    assert page_form(["cheap lamp best lamp buy lamp lamp sale lamp new lamp offer lamp top lamp"] * 3, COMMON)[0] == "keywords"
     assert page_form([], COMMON)[0] == "empty"
 
 
@@ -210,7 +210,7 @@ def test_spam(spark):
     for i in range(120):
         rows.append((i, f"u{i}", None, f"The mill of town {i} is old and it stands in the valley. A road leads to the mill and it is open." * (1 + i % 3), 1))
         links.append((f"u{i}", [("https://x.example/" + str(k), f"Link {k}") for k in range(i % 40)]))
-    rows += [(500, "k", None, "lamp sale cheap lamp best lamp lamp offer sofa lamp buy sofa lamp lamp top sofa\n" * 3, 1), (501, "l", None, "\n".join(f"Entry number {k} - https://e.example/{k}" for k in range(20)), 1),
+    rows += [(500, "k", None, "lamp sale cheap lamp best lamp lamp offer sofa lamp buy sofa lamp lamp top sofa\n" * 4, 1), (501, "l", None, "\n".join(f"Entry number {k} - https://e.example/{k}" for k in range(20)), 1),
              (502, "m", None, "\n".join(f"{w} ({i})" for i, w in enumerate("lamp sofa desk tent kite drum harp mug".split())), 1), (503, "n", None, "\n".join(f"* small item {k}, town" for k in range(20)), 1), (504, "o", None, None, 1)]
     links.append(("l", [(f"http://e.example/{k}/", "other") for k in range(20)]))
     df = spark.createDataFrame(rows, PAGES)
