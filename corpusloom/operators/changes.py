@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
+from ..plans.numbering import with_previous
 
 MOST_DIFF_LINES = 100  # fixed value: lines of a diff that are kept
 
@@ -75,8 +76,7 @@ def severity(percent: Column) -> Column:
 def compared(versions: DataFrame) -> DataFrame:
     """Captures (id, url, content_hash, text_content) with the one before of the
     same address: `old_id` and `old_hash`, null for the first."""
-    before = Window.partitionBy("url").orderBy("id")
-    return versions.withColumns({"old_id": F.lag("id").over(before), "old_hash": F.lag("content_hash").over(before)})
+    return with_previous(versions, "url", "id", {"old_id": "id", "old_hash": "content_hash"})
 
 
 def detect(versions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import get_domain, normalize_url
+from ..plans.numbering import numbered
 
 # fixed values: priorities, smaller goes first
 HIGHEST, HIGH, NORMAL, LOW = 0, 1, 2, 3
@@ -41,8 +42,8 @@ def counters(items: DataFrame) -> DataFrame:
 def fetch_slots(items: DataFrame, delay: Column, rate: float = 2.0) -> DataFrame:
     """Earliest start of each fetch in seconds: per host one after the other, at
     least the host's delay and 1 / rate apart."""
-    place = F.row_number().over(Window.partitionBy("domain").orderBy("priority", "depth", "url")) - 1
-    return items.withColumn("domain", get_domain("url")).withColumn("slot", place * F.greatest(delay, F.lit(1.0 / rate)))
+    placed = numbered(items.withColumn("domain", get_domain("url")).withColumn("_gap", F.greatest(delay, F.lit(1.0 / rate))), "domain", ["priority", "depth", "url"], "_place")
+    return placed.withColumn("slot", (F.col("_place") - 1) * F.col("_gap")).drop("_place", "_gap")
 
 
 def bloom_bits(items: Column, size: int = 1_000_000, hashes: int = 5) -> Column:

@@ -43,8 +43,10 @@ def crawl(seeds: DataFrame, links: DataFrame, pages: DataFrame, allowed: DataFra
     steps: list[dict] = []
     budget = max_pages
     for depth in range(max_depth + 1):
-        batch = staged(frontier.next_batch(queue, budget), "crawl-batch")
-        size = batch.count()
+        size = queue.count()
+        # only a frontier beyond the budget has to be ordered
+        batch = queue if size <= budget else staged(frontier.next_batch(queue, budget), "crawl-batch")
+        size = min(size, budget)
         if not size:
             break
         budget -= size
