@@ -109,5 +109,4 @@ def classify(pages: DataFrame, title: str = "title", text: str = "text") -> Data
 def distribution(classified: DataFrame) -> DataFrame:
     """Pages and share of each category."""
     counts = classified.groupBy("category").agg(F.count("*").alias("pages"))
-    total = F.broadcast(counts.agg(F.sum("pages").alias("all_pages")))  # one row
-    return counts.join(total).select("category", "pages", (F.col("pages") / F.col("all_pages")).alias("share"))
+    return counts.withColumn("share", F.col("pages") / counts.agg(F.sum("pages")).scalar())

@@ -196,19 +196,19 @@ def bm25(index: DataFrame, lengths: DataFrame, query: Query, stats: tuple[int, f
     frequencies = leaf_frequencies(index, query)
     per_doc = frequencies.groupBy("doc_id").agg(*[F.coalesce(F.max(F.when(F.col("leaf") == k, F.col("tf"))), F.lit(0)).alias(f"tf_{k}") for k in range(len(query.leaves))])
     if stats is None:
-        corpus = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"))
+        corpus = lengths.agg(F.struct(F.count("*").alias("docs"), F.avg("len").alias("mean_len")).alias("s")).scalar()
     else:
-        corpus = lengths.sparkSession.range(1).select(F.lit(stats[0]).alias("docs"), F.lit(float(stats[1])).alias("mean_len"))
-    holding = per_doc.agg(*[F.count_if(F.col(f"tf_{k}") > 0).alias(f"n_{k}") for k in range(len(query.leaves))])
-    scalars = F.broadcast(corpus.join(holding))  # one row
+        corpus = F.struct(F.lit(stats[0]).alias("docs"), F.lit(float(stats[1])).alias("mean_len"))
+    holding = per_doc.agg(F.array(*[F.count_if(F.col(f"tf_{k}") > 0) for k in range(len(query.leaves))]).alias("n")).scalar()
     matching = per_doc.where(_condition(query.tree, [F.col(f"tf_{k}") for k in range(len(query.leaves))]))
-    scored = matching.join(lengths, "doc_id").join(scalars)
+    scored = matching.join(lengths, "doc_id").withColumns({"_corpus": corpus, "_holding": holding})
+    docs, mean_len = F.col("_corpus.docs"), F.col("_corpus.mean_len")
     total = F.lit(0.0)
     for k in range(len(query.leaves)):
-        n, tf = F.col(f"n_{k}"), F.col(f"tf_{k}").cast("double")
-        idf = F.greatest(F.log((F.col("docs") - n + F.lit(0.5)) / (n + F.lit(0.5))), F.lit(LEAST_IDF))
+        n, tf = F.col("_holding")[k], F.col(f"tf_{k}").cast("double")
+        idf = F.greatest(F.log((docs - n + F.lit(0.5)) / (n + F.lit(0.5))), F.lit(LEAST_IDF))
         idf = F.when(idf <= LEAST_IDF, F.lit(LEAST_IDF)).otherwise(idf)
-        total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
+        total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / mean_len))
     return scored.select("doc_id", total.alias("score"))
 
 
