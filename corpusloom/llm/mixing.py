@@ -178,8 +178,7 @@ def shares(mixed: DataFrame, weights: DataFrame) -> DataFrame:
     by_source = mixed.groupBy("source").agg(
         F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("most_repeats")
     )
-    everything = by_source.agg(F.sum("tokens").alias("all_tokens"))
-    joined = weights.select("source", "target_share", "max_repeats").join(by_source, "source", "left").join(F.broadcast(everything))  # one row
+    joined = weights.select("source", "target_share", "max_repeats").join(by_source, "source", "left").withColumn("all_tokens", by_source.agg(F.sum("tokens")).scalar())
     return joined.select(
         "source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
