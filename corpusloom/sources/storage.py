@@ -47,8 +47,7 @@ def read_all_content(spark: SparkSession, folder: str, pattern: str = "content_*
 
 def latest_session(content: DataFrame) -> DataFrame:
     """Records of the session with the largest number."""
-    last = content.agg(F.max("session_id").alias("session_id"))
-    return content.join(F.broadcast(last), "session_id", "left_semi")  # one row
+    return content.where(F.col("session_id") == content.agg(F.max("session_id")).scalar())
 
 
 def projection(content: DataFrame, fields: list[str] = EXPORT_FIELDS) -> DataFrame:
