@@ -107,6 +107,32 @@ def change_log(versions: DataFrame) -> DataFrame:
     return added.unionByName(with_diff(pairs).select(*added.columns)).withColumn("summary", F.when(F.col("change_type") == "added", "New page tracked").otherwise(severity(F.col("change_percent"))))
 
 
+def version_pair(versions: DataFrame, old_id: int, new_id: int, lines: int = 50) -> DataFrame:
+    """Diff of two versions by their ids, with the first lines of it; no row if
+    one of them is missing."""
+    old = versions.where(F.col("id") == old_id).select(F.col("id").alias("old_version_id"), F.col("text_content").alias("old_text"), F.lit(0).alias("_k"))
+    new = versions.where(F.col("id") == new_id).select(F.col("id").alias("new_version_id"), F.col("text_content").alias("new_text"), F.lit(0).alias("_k"))
+    found = with_diff(old.join(new, "_k").drop("_k"))
+    return found.withColumns({"summary": severity(F.col("change_percent")), "diff_lines": F.slice("diff_lines", 1, lines)})
+
+
+def version_view(versions: DataFrame, version_id: int, chars: int = 5000) -> DataFrame:
+    """One version with the beginning of its text."""
+    return versions.where(F.col("id") == version_id).withColumn("text_content", F.substring("text_content", 1, chars))
+
+
+def monitor(monitored: DataFrame, url: str, name: str, hours: int, now: Column) -> DataFrame:
+    """Monitored addresses with one added or replaced: it gets a new id, is active
+    and has never been checked."""
+    spark = monitored.sparkSession
+    last = monitored.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    row = spark.range(1).select(
+        (last + 1).cast("long").alias("id"), F.lit(url).alias("url"), F.lit(name).alias("name"), F.lit(hours).alias("check_interval_hours"), F.lit(None).cast("timestamp").alias("last_checked"),
+        F.lit(True).alias("is_active"), now.cast("timestamp").alias("created_at"),
+    )
+    return monitored.where(F.col("url") != url).unionByName(row)
+
+
 def recent(changes: DataFrame, versions: DataFrame, limit: int = 50) -> DataFrame:
     """Latest changes with the titles of both versions; the old one may be
     missing, a change without its new version is left out."""
@@ -114,7 +140,7 @@ def recent(changes: DataFrame, versions: DataFrame, limit: int = 50) -> DataFram
     new = versions.select(F.col("id").alias("new_version_id"), F.col("title").alias("new_title"), F.col("word_count").alias("new_word_count"))
     latest = F.broadcast(changes.join(new.select("new_version_id"), "new_version_id", "left_semi").orderBy(F.desc("id")).limit(limit))  # at most limit rows
     with_new = latest.join(new, "new_version_id")
-    return with_new.join(old.join(F.broadcast(with_new.select("old_version_id")), "old_version_id", "left_semi"), "old_version_id", "left")
+    return with_new.join(old.join(F.broadcast(with_new.select("old_version_id")), "old_version_id", "left_semi"), "old_version_id", "left").orderBy(F.desc("id"))
 
 
 def deleted(before: DataFrame, after: DataFrame) -> DataFrame:

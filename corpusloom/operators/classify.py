@@ -106,6 +106,16 @@ def classify(pages: DataFrame, title: str = "title", text: str = "text") -> Data
     }).drop("_low", "_scores", "_words")
 
 
+SESSION_CHARS, SESSION_KEYWORDS = 3_000, 5  # fixed values: what a session's report reads and shows of a page
+
+
+def classify_session(content: DataFrame, limit: int = 20) -> DataFrame:
+    """Classes of a session's first records, by the beginning of their texts, with
+    a few keywords each."""
+    chosen = content.select("url", "title", F.substring(F.coalesce("text", F.lit("")), 1, SESSION_CHARS).alias("text")).limit(limit)
+    return classify(chosen).withColumn("keywords", F.slice("keywords", 1, SESSION_KEYWORDS))
+
+
 def distribution(classified: DataFrame) -> DataFrame:
     """Pages and share of each category."""
     counts = classified.groupBy("category").agg(F.count("*").alias("pages"))

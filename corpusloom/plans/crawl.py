@@ -20,10 +20,12 @@ from .staging import staged
 
 @dataclass
 class CrawlResult:
-    """URL records of a crawl, and what each superstep did."""
+    """URL records of a crawl, what each superstep did, and what was admitted but
+    not taken because the budget ran out (url, depth, parent_url)."""
 
     urls: DataFrame
     steps: list[dict]
+    pending: DataFrame
 
 
 def crawl(seeds: DataFrame, links: DataFrame, pages: DataFrame, allowed: DataFrame | None = None, max_pages: int = 100, max_depth: int = 10) -> CrawlResult:
@@ -37,6 +39,7 @@ def crawl(seeds: DataFrame, links: DataFrame, pages: DataFrame, allowed: DataFra
     spark = seeds.sparkSession
     available = staged(pages.select(normalize_url("url").alias("url")).where("url is not null").distinct(), "crawl-pages")
     edges = staged(links.select(normalize_url("src").alias("src"), normalize_url("dst").alias("dst")).where("src is not null and dst is not null").distinct(), "crawl-links")
+    seeds = seeds.where(F.trim("url") != "")
     start = seeds.select("url", F.lit(frontier.HIGHEST).alias("priority"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"))
     done = spark.createDataFrame([], "url string, depth int, parent_url string, outcome string")
     queue = staged(frontier.admit(start, done), "crawl-frontier")
@@ -59,12 +62,15 @@ def crawl(seeds: DataFrame, links: DataFrame, pages: DataFrame, allowed: DataFra
         records = found.select("url", "depth", "parent_url", outcome.alias("outcome"))
         done = staged(done.unionByName(records), "crawl-records")
         steps.append({"depth": depth, "fetched": size, "left": budget})
-        if budget <= 0 or depth == max_depth:
+        if depth == max_depth:
             break
         new = edges.join(done.where((F.col("outcome") == "completed") & (F.col("depth") == depth)).select(F.col("url").alias("src")), "src")
         candidates = new.select(F.col("dst").alias("url"), F.lit(frontier.NORMAL).alias("priority"), F.lit(depth + 1).alias("depth"), F.col("src").alias("parent_url"))
-        queue = staged(frontier.admit(candidates, done), "crawl-frontier")
-    return CrawlResult(done, steps)
+        left_over = queue.join(batch.select("url"), "url", "left_anti")
+        queue = staged(left_over.unionByName(frontier.admit(candidates, done.select("url").unionByName(left_over.select("url")))), "crawl-frontier")
+        if budget <= 0:
+            return CrawlResult(done, steps, queue.select("url", "depth", "parent_url"))
+    return CrawlResult(done, steps, done.select("url", "depth", "parent_url").limit(0))
 
 
 def progress(urls: DataFrame, max_pages: int) -> DataFrame:

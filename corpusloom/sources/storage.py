@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import CONTENT
 
+TEXT_CHARS, HTML_CHARS = 10_000, 100_000  # fixed values: what a content record keeps of text and source
 EXPORT_FIELDS = ["url", "title", "description", "crawled_at"]
 
 
@@ -22,6 +23,17 @@ def deduplicated(df: DataFrame, key: str = "id") -> DataFrame:
     return df.dropDuplicates([key])
 
 
+def content_records(parsed: DataFrame, html: DataFrame | None = None) -> DataFrame:
+    """Content records of parsed pages, with the page sources (url, html) if given;
+    text and source are cut to the lengths a record keeps."""
+    records = parsed.select(
+        "url", F.col("metadata.title").alias("title"), F.col("metadata.description").alias("description"), F.substring("text_content", 1, TEXT_CHARS).alias("text"), F.size("links").alias("links_count")
+    )
+    if html is None:
+        return records
+    return records.join(html.select("url", F.substring("html", 1, HTML_CHARS).alias("html")).dropDuplicates(["url"]), "url", "left")
+
+
 def write_content(pages: DataFrame, folder: str, session: str = "session_id") -> None:
     """Appends page records as JSON lines, one folder a session."""
     pages.write.mode("append").partitionBy(session).json(folder)
