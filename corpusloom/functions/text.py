@@ -119,11 +119,17 @@ def analyse(word: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def analyse_terms(words: pd.Series) -> pd.Series:
-    """Folded and stemmed terms; meant for distinct tokens."""
+def _analyse_terms(words: pd.Series) -> pd.Series:
     return words.map(lambda w: None if w is None else analyse(w))
 
 
+def analyse_terms(words: Column | str) -> Column:
+    """Folded and stemmed terms; meant for distinct tokens.  Declared
+    non-deterministic, else filters on terms would be copied to before the
+    distinct and analyse every token."""
+    return _analyse_terms.asNondeterministic()(words)
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def most_frequent(lists: pd.Series, most: pd.Series) -> pd.Series:
     """The most frequent elements of each list, ties by first occurrence: linear in

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import analyse, analyse_terms, tokens, word_count
+from ..plans.staging import staged
 from .catalog import upsert_latest
 
 COLUMNS = ("url", "title", "content", "description")
@@ -167,18 +168,29 @@ def _condition(tree, found: list[Column]) -> Column:
 def leaf_frequencies(index: DataFrame, query: Query) -> DataFrame:
     """(doc_id, leaf, tf): how often each leaf occurs in each document.  Phrases
     are adjacent positions within one column."""
+
+    def matches(leaf: Leaf, i: int) -> Column:
+        prefix = leaf.prefix and i == len(leaf.terms) - 1
+        return F.col("term").startswith(leaf.terms[i]) if prefix else F.col("term") == leaf.terms[i]
+
     wanted = F.lit(False)
     for leaf in query.leaves:
-        for i, term in enumerate(leaf.terms):
-            wanted |= F.col("term").startswith(term) if leaf.prefix and i == len(leaf.terms) - 1 else F.col("term") == term
+        for i in range(len(leaf.terms)):
+            wanted |= matches(leaf, i)
     near = index.where(wanted)
+    phrases = [k for k, leaf in enumerate(query.leaves) if len(leaf.terms) > 1]
+    if phrases:
+        near = staged(near, "near")  # read once for each word of a phrase, and no more than the places of the query's terms
+    singles = [F.when(matches(leaf, 0), k) for k, leaf in enumerate(query.leaves) if len(leaf.terms) == 1]
     out = None
-    for k, leaf in enumerate(query.leaves):
-        last = len(leaf.terms) - 1
-        found = None
-        for i, term in enumerate(leaf.terms):
-            hit = F.col("term").startswith(term) if leaf.prefix and i == last else F.col("term") == term
-            places = near.where(hit).select("doc_id", "col", (F.col("pos") - i).alias("pos"))
+    if singles:
+        # all single terms in one pass; a place can count for several of them
+        found = near.select("doc_id", F.explode(F.array_compact(F.array(*singles))).alias("leaf"))
+        out = found.groupBy("doc_id", "leaf").agg(F.count("*").alias("tf"))
+    for k in phrases:
+        leaf, found = query.leaves[k], None
+        for i in range(len(leaf.terms)):
+            places = near.where(matches(leaf, i)).select("doc_id", "col", (F.col("pos") - i).alias("pos"))
             found = places if found is None else found.join(places, ["doc_id", "col", "pos"])
         counts = found.groupBy("doc_id").agg(F.count("*").alias("tf")).select("doc_id", F.lit(k).alias("leaf"), "tf")
         out = counts if out is None else out.unionByName(counts)
@@ -194,7 +206,8 @@ def bm25(index: DataFrame, lengths: DataFrame, query: Query, stats: tuple[int, f
     (documents, mean length), computed from `lengths` if not given.
     """
     frequencies = leaf_frequencies(index, query)
-    per_doc = frequencies.groupBy("doc_id").agg(*[F.coalesce(F.max(F.when(F.col("leaf") == k, F.col("tf"))), F.lit(0)).alias(f"tf_{k}") for k in range(len(query.leaves))])
+    # read twice, for document frequencies and for scores, and small beside the index: one pass over the postings
+    per_doc = staged(frequencies.groupBy("doc_id").agg(*[F.coalesce(F.max(F.when(F.col("leaf") == k, F.col("tf"))), F.lit(0)).alias(f"tf_{k}") for k in range(len(query.leaves))]), "hits")
     if stats is None:
         corpus = lengths.agg(F.struct(F.count("*").alias("docs"), F.avg("len").alias("mean_len")).alias("s")).scalar()
     else:
