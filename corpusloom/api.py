@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -15,6 +15,7 @@ from .functions.text import content_hash, word_count
 from .functions.urls import default_scheme, get_domain, normalize_url
 from .operators import catalog, changes, classify, schedules, search
 from .plans import crawl as crawling
+from .plans.numbering import numbered
 from .plans.staging import staged
 from .sources import html, robots, storage
 from .sources.warehouse import Warehouse
@@ -46,7 +47,8 @@ class Engine:
 
     def _numbered(self, table: str, rows: DataFrame, order: list[str]) -> DataFrame:
         """`rows` with ids after the table's last, in the given order."""
-        return rows.withColumn("id", F.row_number().over(Window.orderBy(*order)) + F.lit(self._next_id(table) - 1).cast("long"))
+        ranked = numbered(rows.withColumn("_all", F.lit(0)), "_all", order, "_rank")
+        return ranked.withColumn("id", F.col("_rank") + F.lit(self._next_id(table) - 1).cast("long")).drop("_all", "_rank")
 
     # --- crawling
     def crawl(self, seed: str, pages: DataFrame, robots_files: DataFrame | None = None, max_pages: int = 100, max_depth: int = 10, save_html: bool = False, agent: str = "*", now=None) -> int:
