@@ -167,10 +167,11 @@ def title_like(line: str, longest: int = 80, most_words: int = 11) -> bool:
     return not _NO_TITLE.search(line)
 
 
-def furniture_flags(lines: list[str], title: str | None = None, most_related: int = 5) -> list[bool]:
+def furniture_flags(lines: list[str], title: str | None = None, most_related: int = 5, template: list[bool] | None = None) -> list[bool]:
     """One flag per line, True for site furniture; blank lines are False.
 
-    `lines` are the raw lines.  A related block is its heading and at most
+    `lines` are the raw lines; those `template` marks are furniture already, and
+    only the others are typed by their wording.  A related block is its heading and at most
     `most_related` title-like lines after it; it ends at a blank line, at a
     sentence, at any other furniture and, after the first `LEAST_RELATED`, at the
     page's own title.  An empty
@@ -184,7 +185,7 @@ def furniture_flags(lines: list[str], title: str | None = None, most_related: in
             room = 0
             continue
         kind = wording(line) if len(line) <= 200 else BODY
-        if kind == FURNITURE:
+        if kind == FURNITURE or (kind == BODY and template and template[i]):
             out[i] = True
             room = 0
         elif kind == RELATED_HEAD:
