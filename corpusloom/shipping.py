@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
+from .plans.staging import fresh_path
+
 _shipped: set[str] = set()
 
 
@@ -15,18 +17,23 @@ def ensure_on_executors(spark: SparkSession) -> None:
     """Hand the package to Spark once per application, so that functions which
     run in executors' Python can import it wherever the driver was started.
 
-    The archive is built on the driver; Spark itself serves it to executors.
+    The archive lies in the folder all executors share.
     """
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="corpusloom-ship-"), "corpusloom.zip")
-    with zipfile.ZipFile(archive, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for folder, _, files in os.walk(here):
             for name in files:
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
                     z.write(path, os.path.relpath(path, os.path.dirname(here)))
-    context.addPyFile(archive)
+    place = fresh_path(spark, "package") + "/corpusloom.zip"
+    path = context._jvm.org.apache.hadoop.fs.Path(place)
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+    stream.write(data.getvalue())
+    stream.close()
+    context.addPyFile(place)
     _shipped.add(context.applicationId)
