@@ -1,7 +1,8 @@
 """Problem 10: text that was decoded with the wrong character encoding.
 
 1. `vocabulary` counts, per language, every word of the corpus that holds a
-   character beyond ASCII.  Names with a sign attached ("Anna’s") are rarely
+   character beyond ASCII: in how many documents, and in how many different
+   texts, so that copies of a damaged text do not outvote its originals.  Names with a sign attached ("Anna’s") are rarely
    seen twice, so the sign with its surroundings counts as a word of its own
    (`units`).
 2. `garbled_table` generates the garbled forms of all these words under every
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import staged
@@ -129,56 +130,83 @@ def words_of(text: str) -> list[str]:
     return words + [u for w in words for u in units(w)]
 
 
-VOCABULARY = "lang string, word string, n long"
-_VOCABULARY = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+VOCABULARY = "lang string, word string, n double, rows long"
+_VOCABULARY = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.float64()), ("rows", pa.int64())])
+
+
+def _repeated(documents: DataFrame) -> DataFrame:
+    """(key, lang, own, everywhere): the hashes of the non-ASCII texts that occur
+    more than once, how often with this language, and how often at all."""
+    texts = documents.where(F.octet_length("text") > F.length("text")).select(F.xxhash64("text").alias("key"), F.coalesce("lang", F.lit("")).alias("lang"))
+    own = texts.groupBy("key", "lang").agg(F.count("*").alias("own"))
+    return own.withColumn("everywhere", F.sum("own").over(Window.partitionBy("key"))).where("everywhere > 1")
 
 
 def vocabulary(documents: DataFrame) -> DataFrame:
-    """(lang, word, n) of `documents` (doc_id, lang, text): in how many documents
-    each non-ASCII word occurs, per language and pooled.  Words with replacement
-    signs and texts that are null or empty do not count."""
+    """(lang, word, n, rows) of `documents` (doc_id, lang, text): in how many
+    different texts and in how many documents each non-ASCII word occurs, per
+    language and pooled.  Words with replacement signs and texts that are null
+    or empty do not count."""
+    repeated = staged(_repeated(documents), "repeated")
+    few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[tuple[str, str]] = Counter()
+        texts: dict[tuple[str, str], float] = {}
+        rows: Counter[tuple[str, str]] = Counter()
 
         def flush() -> pa.RecordBatch:
-            langs, words = zip(*counts) if counts else ((), ())
-            out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], schema=_VOCABULARY)
-            counts.clear()
+            langs, words = zip(*texts) if texts else ((), ())
+            out = pa.RecordBatch.from_arrays([
+                pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(texts.values()), pa.float64()), pa.array([rows[k] for k in texts], pa.int64()),
+            ], schema=_VOCABULARY)
+            texts.clear()
+            rows.clear()
             return out
 
         for batch in slices(batches):
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for lang, text, own, everywhere in zip(*(c.to_pylist() for c in batch.columns)):
                 if not text or text.isascii():
                     continue
                 words = {w for w in words_of(text) if LOST not in w}
-                counts.update((POOLED, w) for w in words)
-                if lang:
-                    counts.update((lang, w) for w in words)
-            if len(counts) > FLUSH:
+                # all copies of a text together weigh one
+                for name, weight in ((POOLED, 1 / (everywhere or 1)), (lang, 1 / (own or 1))):
+                    if name:
+                        keys = [(name, w) for w in words]
+                        rows.update(keys)
+                        for k in keys:
+                            texts[k] = texts.get(k, 0.0) + weight
+            if len(texts) > FLUSH:
                 yield flush()
         yield flush()
 
-    partial = documents.select("lang", "text").mapInArrow(count, VOCABULARY)
-    return partial.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    keyed = documents.select("lang", "text", F.xxhash64("text").alias("key"), F.coalesce("lang", F.lit("")).alias("label"))
+    copies = repeated.withColumnRenamed("lang", "label")
+    weighed = keyed.join(F.broadcast(copies) if few else copies, ["key", "label"], "left").select("lang", "text", "own", "everywhere")
+    partial = weighed.mapInArrow(count, VOCABULARY)
+    return partial.groupBy("lang", "word").agg(F.round(F.sum("n")).cast("long").alias("n"), F.sum("rows").alias("rows"))
 
 
 def _signs_only(word: str) -> bool:
     return not any(c.isalpha() for c in word if ord(c) > 127)
 
 
-GARBLED = "lang string, word string, original string, chain int, seen long"
-_GARBLED = pa.schema([("lang", pa.string()), ("word", pa.string()), ("original", pa.string()), ("chain", pa.int32()), ("seen", pa.int64())])
+GARBLED = "lang string, word string, original string, chain int, seen long, seen_rows long"
+_GARBLED = pa.schema([("lang", pa.string()), ("word", pa.string()), ("original", pa.string()), ("chain", pa.int32()), ("seen", pa.int64()), ("seen_rows", pa.int64())])
 
 
 def garbled_table(counted: DataFrame) -> DataFrame:
     """(lang, word, original, chain): the garbled forms that occur in the
-    vocabulary `counted`, each with its most frequent original."""
+    vocabulary `counted`, each with its most frequent original that is
+    not such a form itself.
+
+    Different texts decide.  Where the original is in as many of them as the
+    form, or the form shows by itself that it is garbled UTF-8, its documents
+    may decide as well."""
 
     def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
             out: list[list] = [[] for _ in _GARBLED]
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for lang, word, n, rows in zip(*(c.to_pylist() for c in batch.select(["lang", "word", "n", "rows"]).columns)):
                 if ("\x01" in word or "\x02" in word) and not _signs_only(word):
                     continue  # of units, only signs are originals
                 done = {word}
@@ -186,7 +214,7 @@ def garbled_table(counted: DataFrame) -> DataFrame:
                     form = garble(word, chain)
                     if form and form not in done:
                         done.add(form)
-                        for column, value in zip(out, (lang, form, word, k, n)):
+                        for column, value in zip(out, (lang, form, word, k, n, rows)):
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _GARBLED.types)], schema=_GARBLED)
 
@@ -194,9 +222,14 @@ def garbled_table(counted: DataFrame) -> DataFrame:
     occurring = forms.join(counted, ["lang", "word"])
     utf8 = F.col("chain").isin([k for k, chain in enumerate(CHAINS) if chain[0][0] == "utf-8"])
     short = (F.length("word") <= 1) | F.col("word").contains("\x01") | F.col("word").contains("\x02") | (F.col("lang") == POOLED)
-    verified = occurring.where(F.when(utf8, F.col("seen") * 2 >= F.col("n")).otherwise(F.col("seen") >= F.col("n") * F.when(short, SHORT_RATIO).otherwise(RATIO)))
-    best = F.max_by(F.struct("original", "chain"), F.struct("seen", -F.col("chain"), "original"))
-    return verified.groupBy("lang", "word").agg(best.alias("best")).select("lang", "word", "best.original", "best.chain")
+    ratio = F.when(short, SHORT_RATIO).otherwise(RATIO)
+    in_utf8 = (F.col("seen") * 2 >= F.col("n")) | (F.col("seen_rows") * 2 >= F.col("rows"))
+    in_others = (F.col("seen") >= F.col("n") * ratio) | ((F.col("seen") >= F.col("n")) & (F.col("seen_rows") >= F.col("rows") * ratio))
+    verified = staged(occurring.where(F.when(utf8, in_utf8).otherwise(in_others)).select("lang", "word", "original", "chain", "seen", "seen_rows"), "verified")
+    # an original that is a garbled form itself comes after all others
+    again = verified.select("lang", F.col("word").alias("original"), F.lit(True).alias("again")).distinct()
+    best = F.max_by(F.struct("original", "chain"), F.struct(F.col("again").isNull(), "seen", "seen_rows", -F.col("chain"), "original"))
+    return verified.join(again, ["lang", "original"], "left").groupBy("lang", "word").agg(best.alias("best")).select("lang", "word", "best.original", "best.chain")
 
 
 def _repair_line(line: str, found: dict[str, tuple[str, int]]) -> str:

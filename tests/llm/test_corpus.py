@@ -288,6 +288,17 @@ def test_repair(spark):
     assert encoding.repair(spark.createDataFrame([], "doc_id long, lang string, text string")).count() == 0
 
 
+@pytest.mark.parametrize(("lang", "chain"), [("de", (("utf-8", "cp1252"),)), ("ru", (("cp1251", "koi8_r"),)), ("ru", (("cp1251", "cp1252"),))])
+def test_copies_of_a_damaged_text_do_not_outvote_its_originals(spark, lang, chain):
+    clean = [(i, lang if i % 3 else None, f"{CLEAN[lang]} {i}") for i in range(1, 9)]
+    bad = encoding.garble(CLEAN[lang], chain)
+    copies = [(100 + i, lang if i % 2 else None, bad) for i in range(120)]
+    got = {r.doc_id: (r.status, r.text) for r in encoding.repair(spark.createDataFrame(clean + copies, "doc_id long, lang string, text string")).collect()}
+    labelled = {i for i, label, _ in copies if label}
+    assert labelled <= set(got) <= {i for i, _, _ in copies}  # and no clean text is damaged by them
+    assert all(got[i] == ("restorable", CLEAN[lang]) for i in labelled)
+
+
 def test_units():
     assert encoding.units("Anna’s") == ["\x01’s"]
     assert encoding.units("“Another") == ["“\x02"]
