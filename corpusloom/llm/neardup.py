@@ -313,6 +313,19 @@ def group_classes(members: DataFrame, pairs: DataFrame, most_rounds: int = 60) -
     )
 
 
+def all_classes(documents: DataFrame, words: int = 5, similarity: float = 0.8, least: int = 1) -> DataFrame:
+    """(tbl, row_id, class_id, links) as of `group_classes`, with one row for
+    each id of `documents` (tbl, row_id, text).  Texts with fewer than `least`
+    shingles are in a class with the texts equal to them, character by
+    character; null texts are equal to the empty one.  Rows without id give
+    none."""
+    members, pairs = similar_texts(documents, words, similarity, least)
+    texts = documents.where("row_id is not null").select("tbl", F.col("row_id").cast("long"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
+    short = staged(texts.join(members.select("tbl", "row_id"), ["tbl", "row_id"], "left_anti").distinct(), "short-texts")
+    equal = short.groupBy("tbl", "key").agg(F.min("row_id").alias("class_id"), (F.count("*") - 1).alias("links"))
+    return group_classes(members, staged(pairs, "pairs")).unionByName(short.join(equal, ["tbl", "key"]).select("tbl", "row_id", "class_id", "links"))
+
+
 #: Parameters that TESTDATA.md fixes for this problem.
 WORDS, SIMILARITY, LEAST = 3, 0.5, 60
 
@@ -329,15 +342,13 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, pairs = similar_texts(_texts(spark, sf_dir), WORDS, SIMILARITY, LEAST)
-    return group_classes(members, staged(pairs, "pairs"))
+    return all_classes(_texts(spark, sf_dir), WORDS, SIMILARITY, LEAST)
 
 
 def p7_document_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of the corpus documents, with five words and a similarity of 0.8."""
     documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_id"), "text")
-    members, pairs = similar_texts(documents)
-    return group_classes(members, staged(pairs, "pairs"))
+    return all_classes(documents)
 
 
 QUERIES = {"p7_found": p7_found, "p7_classes": p7_classes, "p7_document_classes": p7_document_classes}

@@ -137,6 +137,14 @@ def test_no_texts(spark):
     assert neardup.group_classes(members, pairs).count() == 0
 
 
+def test_short_texts_have_classes(spark, tmp_path):
+    long = " ".join(WORDS[:80])
+    texts = [(5, "n/a"), (3, "n/a"), (9, "n/a"), (1, "..."), (2, "two words"), (4, None), (6, ""), (7, long), (8, long + " more")]
+    spark.createDataFrame(texts + texts[:7], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))  # short ones delivered twice
+    got = {r.row_id: (r.class_id, r.links) for r in neardup.p7_document_classes(spark, str(tmp_path)).collect()}
+    assert got == {5: (3, 2), 3: (3, 2), 9: (3, 2), 1: (1, 0), 2: (2, 0), 4: (4, 1), 6: (4, 1), 7: (7, 1), 8: (7, 1)}
+
+
 # --- packing
 SIZES = "doc_id long, n_tokens long"
 
