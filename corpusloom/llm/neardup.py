@@ -37,7 +37,7 @@ from .tables import slices, table
 ROWS, BANDS = 4, 50  # signature slots a band, bands: finds a pair of similarity 0.5 with 0.96, 0.6 with 0.999
 SLOTS = ROWS * BANDS
 SKETCH = 64  # slots of which one byte is kept
-SKETCH_LEAST = 0.28  # agreeing share of sketch bytes below which a pair is not verified: six deviations under 0.5 and more
+SKETCH_LEAST = 0.28  # agreeing share of sketch bytes below which a pair is not verified: 3.5 deviations under 0.5, loses 1e-4 of the pairs of just 0.5
 BROADCAST_IDS = 2_000_000  # ids up to which the documents to verify are selected by broadcast
 CHUNK_CHARS = 1_000_000  # characters hashed at once
 
