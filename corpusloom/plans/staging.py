@@ -60,3 +60,14 @@ def staged(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged_bytes(df: DataFrame) -> int:
+    """Size in bytes of the files a staged table was read back from."""
+    spark = df.sparkSession
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for name in df.inputFiles():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(configuration).getFileStatus(path).getLen()
+    return total
