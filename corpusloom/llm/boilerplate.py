@@ -1,54 +1,63 @@
 """Problem 2: keeping the main body of pages that carry site furniture.
 
-Template deduction by equivalence classes.  The tokens are whole lines with
-their digits masked; the occurrence vector of a token is the set of pages of a
-host that hold it.
-
-1. `line_tokens` explodes all pages of the corpus into tokens and aggregates
-   them per host in one map-side-combined shuffle: support, a fingerprint of the
-   occurrence vector (xor of page hashes), a bitmap of the vector for subset
-   tests, and how near to the page's edges and on how different pages the token
-   stands.
-2. `deduce_templates` puts the tokens of a host with equal vectors into classes,
-   keeps the valid ones (enough support, few tokens, pages that differ), nests
-   them by inclusion of their vectors, and labels a class as furniture when it
-   holds known wording, is nested with such a class, or keeps to the edges.
-3. `label_lines` takes out what the host's template holds, then types the
-   remaining slots by their wording (`furniture.py`): furniture that differs from
-   page to page, such as the titles of a related block, or that is too rare on
-   its host for a template.
-
-A host's frequent tokens are bounded: with support of at least the share `s` of
-the host's pages there are at most `lines per page / s` of them, however many
-pages the host has.  The template table joins the pages by host; it is
-broadcast only below a checked size.
+Template deduction by equivalence classes.  The tokens are the fields of lines
+(a menu in one line has several), with digits masked; the occurrence vector of
+a token is the set of pages of a host that hold it.
+
+1. `page_tokens` turns every page into its distinct tokens; one shuffle counts
+   them for each host: support, a fingerprint of the occurrence vector (xor and
+   sum of page hashes, so equal vectors are told exactly but for hash
+   collisions), and what stands around the token.
+2. `deduce_templates` puts the tokens of a host with equal vectors into classes
+   and keeps the valid ones: frequent enough, and no copies of one page, whose
+   classes cover most of their pages and whose pages are all of one length.
+   Classes are nested by exact inclusion of their vectors: the pages that each
+   two classes have in common are counted.  A class that stands on too few
+   pages to be valid by itself is kept if it is nested in a valid one and keeps
+   to the page's edges.
+3. Valid tokens of several hosts make the shared template, which serves hosts
+   with too few pages.
+4. `label_lines` takes out the lines whose fields are all of the template.  The
+   slots between them are the page's text, but for slots that the template
+   itself opens: where a token is followed by a run of titles on nearly all its
+   pages, the titles after it are its nested slot (related pages).  Only what is
+   left is typed by wording (`furniture.py`): furniture too rare for a template.
+
+No host is gathered in one task: classes, nesting and counts are aggregates that
+combine before their shuffles.  A host's frequent tokens are bounded, with a
+support of at least the share `s` of its pages, by `fields per page / s`.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import staged
-from .furniture import BODY, furniture_flags, wording
+from ..plans.staging import staged, staged_bytes
+from .furniture import furniture_flags, title_like
 from .tables import slices, table
 
-LONGEST_TOKEN = 200  # characters of a line that can be a template token
-MIN_SUPPORT = 3  # pages a token must stand on
-MIN_SHARE = 0.002  # share of its host's pages a token must stand on: bounds the tokens per host
-FRAME_SUPPORT, FRAME_SHARE = 8, 0.04  # support of classes that may extend the template by themselves
-EDGE_SHARE, EDGE_LINES = 0.8, 8  # how often, and within how many lines, a token must stand near an edge
-LENGTH_SPREAD = 0.25  # least variation of the pages' lengths: copies of one page share lines, too
-LARGEST_CLASS = 12  # tokens of a valid class
-BROADCAST_TOKENS = 500_000  # template tokens of all hosts up to which they are broadcast; beyond, templates join the pages by host
+MIN_SUPPORT = 3  # pages a template token stands on at least
+MIN_SHARE = 0.02  # share of its host's pages a template token stands on at least
+NESTED_SHARE = 0.008  # the same for a token of a class nested in a valid one
+EDGE_SHARE, EDGE_LINES = 0.8, 8  # how often, and within how many lines, a nested token stands near an edge
+LENGTH_SPREAD = 0.2  # least variation of the pages' lengths: copies of one page share lines, too
+MOST_COVERED = 0.5  # share of its pages' characters a class covers at most: copies share most of their text
+SHARED_HOSTS = 3  # hosts whose templates hold a token of the shared template
+SHARED_PART = 0.5  # part that they are, at least, of the hosts on which the token recurs at all
+OPENS = 0.6  # share of a token's pages on which a run of titles follows it, from which it opens a slot
+RUN = 2  # titles of a run at least
+BROADCAST_BYTES = 8 << 20  # written size of the templates up to which they are broadcast; beyond, they join the pages by host
 
 _DIGITS = re.compile(r"\d+", re.ASCII)
+_FIELDS = re.compile(r"\s{2,}|\t|\s?\|\s?|\s[>›»·•/–-]\s")
+_BULLET = re.compile(r"[*\-•·–]\s+")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -56,126 +65,191 @@ def host_of(url: F.Column) -> F.Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-@lru_cache(maxsize=65536)
-def token_hash(line: str) -> int:
-    """Hash of a line's token, equal to the one `line_tokens` computes in SQL."""
-    h = xxhash.xxh64_intdigest(_DIGITS.sub("0", line.strip(" ")).lower().encode(), seed=42)
+def _signed(text: str) -> int:
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42)
     return h - (1 << 64) if h >> 63 else h
 
 
-def line_tokens(pages: DataFrame) -> DataFrame:
-    """Per host and token: support, vector fingerprint and bitmap, sample line,
-    edge and length statistics.  `pages` has (url, text), one row per page."""
-    lines = F.filter(F.transform(F.split("text", "\n", -1), F.trim), lambda x: x != "")
-    exploded = (
-        pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("url").alias("page"), lines.alias("lines"), F.length("text").cast("double").alias("chars"))
-        .where("host != ''")
-        .select("host", "page", "chars", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
-        .where(F.length("line").between(2, LONGEST_TOKEN))
-        .select(
-            "host", "page", "chars", "line",
-            F.xxhash64(F.lower(F.regexp_replace("line", r"\d+", "0"))).alias("token"),
-            (F.least(F.col("pos"), F.col("n") - 1 - F.col("pos")) < EDGE_LINES).cast("long").alias("edge"),
-        )
-    )
-    bit = F.expr("shiftleft(1L, cast(pmod(page, 64) as int))")
-    bit2 = F.expr("shiftleft(1L, cast(pmod(shiftright(page, 7), 64) as int))")
-    return exploded.groupBy("host", "token").agg(
-        F.count("*").alias("support"), F.bit_xor("page").alias("vector"), F.bit_or(bit).alias("bits"), F.bit_or(bit2).alias("bits2"),
-        F.min("line").alias("line"), F.avg("edge").alias("edge"), F.avg("chars").alias("chars"), F.avg(F.col("chars") * F.col("chars")).alias("chars2"),
-    )
+def line_tokens(line: str) -> list[int]:
+    """Hashes of the tokens of a stripped line: its fields, lower case, digits
+    masked, without a list mark before them.  A line with a field without
+    letters is a row of values and has no tokens."""
+    mark = _BULLET.match(line)
+    core = _DIGITS.sub("0", line[mark.end():] if mark else line).lower()
+    fields = [f for f in map(str.strip, _FIELDS.split(core)) if f]
+    return [_signed(f) for f in fields] if all(map(_LETTER.search, fields)) else []
 
 
-def _template(tokens: pa.Table) -> pa.Table:
-    """Classes, nesting and labels of one host's frequent tokens."""
-    by_vector: dict[tuple, list[dict]] = {}
-    for row in tokens.to_pylist():
-        by_vector.setdefault((row["support"], row["vector"]), []).append(row)
-    classes = []
-    for (support, _), rows in by_vector.items():
-        first = rows[0]
-        spread = max(0.0, first["chars2"] - first["chars"] ** 2) ** 0.5 / max(1.0, first["chars"])
-        labels = [wording(r["line"]) != BODY for r in rows]
-        classes.append({
-            "support": support, "bits": (first["bits"], first["bits2"]), "rows": rows, "labels": labels, "known": any(labels),
-            "valid": len(rows) <= LARGEST_CLASS and spread >= LENGTH_SPREAD, "edge": sum(r["edge"] for r in rows) / len(rows), "level": 0, "furniture": False,
-        })
-    classes.sort(key=lambda c: (-c["support"], c["rows"][0]["token"]))
-    out: list[dict] = []
-    for i, c in enumerate(classes):
-        # nested in the smallest earlier furniture class whose vector includes this one's
-        parent = None
-        for p in classes[:i]:
-            if c["valid"] and p["furniture"] and all(a & ~b == 0 for a, b in zip(c["bits"], p["bits"])):
-                parent = p
-        c["level"] = parent["level"] + 1 if parent else 0
-        frame = c["support"] >= max(FRAME_SUPPORT, FRAME_SHARE * c["rows"][0]["pages"])
-        at_edge = c["edge"] >= EDGE_SHARE
-        c["furniture"] = c["valid"] and (c["known"] or (frame and at_edge and (parent is not None or len(c["rows"]) > 1)))
-        for row, known in zip(c["rows"], c["labels"]):
-            # in a furniture class, lines of known wording belong to the template, others if the class is frequent enough
-            if c["furniture"] and (known or (frame and at_edge)):
-                out.append({"host": row["host"], "token": row["token"], "known": known, "level": c["level"], "support": c["support"]})
-    return pa.Table.from_pylist(out, schema=_TEMPLATE_ARROW)
-
-
-_TEMPLATE_ARROW = pa.schema([("host", pa.string()), ("token", pa.int64()), ("known", pa.bool_()), ("level", pa.int32()), ("support", pa.int64())])
-TEMPLATE_SCHEMA = "host string, token long, known boolean, level int, support long"
+TOKENS = "host string, page long, chars double, token long, edge boolean, opens boolean, size int"
+_TOKENS = pa.schema([
+    ("host", pa.string()), ("page", pa.int64()), ("chars", pa.float64()), ("token", pa.int64()), ("edge", pa.bool_()), ("opens", pa.bool_()), ("size", pa.int32()),
+])
 
 
-def deduce_templates(pages: DataFrame) -> DataFrame:
-    """Template tokens of each host: (host, token, known, level, support).
+def runs_of_titles(lines: list[str], title: str | None) -> list[int]:
+    """For each stripped line the number of title-like lines right after it; the
+    page's own title ends a run."""
+    after = [0] * (len(lines) + 1)
+    for i in range(len(lines) - 1, -1, -1):
+        after[i] = after[i + 1] + 1 if lines[i] and lines[i] != title and title_like(lines[i]) else 0
+    return after[1:]
+
+
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """One row for each page and distinct token: host, page, the page's
+    characters, whether the token's line is near an edge, whether a run of titles
+    follows it, and its length.  `pages` has (url, title, text), one row a page;
+    pages without host or text have no tokens."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: list[list] = [[] for _ in _TOKENS]
+            for host, page, title, text in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = [line.strip() for line in text.split("\n")]
+                after = runs_of_titles(lines, title)
+                filled = [i for i, line in enumerate(lines) if line]
+                seen: dict[int, tuple] = {}
+                for k, i in enumerate(filled):
+                    edge = min(k, len(filled) - 1 - k) < EDGE_LINES
+                    for token in line_tokens(lines[i]):
+                        seen.setdefault(token, (edge, after[i] >= RUN, len(lines[i])))
+                n = len(seen)
+                out[0] += [host] * n
+                out[1] += [page] * n
+                out[2] += [float(len(text))] * n
+                out[3] += seen
+                for column, values in zip(out[4:], zip(*seen.values())):
+                    column += values
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _TOKENS.types)], schema=_TOKENS)
+
+    columns = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("url").alias("page"), "title", "text").where("host != '' and text is not null")
+    return columns.mapInArrow(compute, TOKENS)
+
+
+TEMPLATE_SCHEMA = "host string, token long, level int, support long, opens boolean"
+
 
-    `pages` has (url, text), one row per page; a null text has no tokens, and a
-    host with fewer than `MIN_SUPPORT` pages no template."""
+def deduce_templates(pages: DataFrame) -> DataFrame:
+    """Template tokens of each host: (host, token, level, support, opens).
+
+    `level` counts the classes a token's class is nested in, `opens` tells that a
+    slot of titles follows it.  The shared template has the empty host and the
+    number of hosts as support.  `pages` has (url, title, text), one row per
+    page; a null text has no tokens, and a host with fewer than `MIN_SUPPORT`
+    pages only the shared template."""
+    tokens = staged(page_tokens(pages), "page-tokens")
     sizes = pages.groupBy(host_of(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
-    frequent = (
-        line_tokens(pages).where(F.col("support") >= MIN_SUPPORT)
-        .join(sizes, "host").where(F.col("support") >= MIN_SHARE * F.col("pages"))
+    counted = tokens.groupBy("host", "token").agg(
+        F.count("*").alias("support"), F.bit_xor("page").alias("v1"), F.bit_xor(F.xxhash64("page")).alias("v2"), F.avg(F.col("edge").cast("double")).alias("edge"),
+        F.avg(F.col("opens").cast("double")).alias("opens"), F.avg("chars").alias("chars"), F.avg(F.col("chars") * F.col("chars")).alias("chars2"), F.max("size").alias("size"),
+    ).where(F.col("support") >= MIN_SUPPORT)
+    counted = staged(counted, "recurring-tokens")
+    frequent = staged(
+        counted.join(sizes, "host").where(F.col("support") >= NESTED_SHARE * F.col("pages")).withColumn("class", F.xxhash64("host", "support", "v1", "v2")), "frequent"
+    )
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.first("chars2") - F.first("chars") * F.first("chars"))) / F.greatest(F.lit(1.0), F.first("chars"))
+    classes = staged(
+        frequent.groupBy("host", "class").agg(F.first("support").alias("support"), F.first("pages").alias("pages"), F.avg("edge").alias("edge"), (F.sum("size") / F.first("chars")).alias("covered"), spread.alias("spread"))
+        .where((F.col("covered") <= MOST_COVERED) & (F.col("spread") >= LENGTH_SPREAD))
+        .withColumn("valid", F.col("support") >= MIN_SHARE * F.col("pages")), "classes"
+    )
+    # pages that two classes have in common, counted from one token of each class
+    one = frequent.join(classes.select("host", "class", "valid"), ["host", "class"]).groupBy("host", "class", "valid").agg(F.min("token").alias("token"))
+    held = tokens.select("host", "page", "token").join(one, ["host", "token"]).groupBy("host", "page").agg(F.collect_list(F.struct("class", "valid")).alias("held"))  # a page's classes
+    inner = held.select("host", "held", F.explode("held").alias("x"))
+    pairs = inner.select("host", F.col("x.class").alias("class"), F.explode(F.filter("held", lambda y: y["valid"] & (y["class"] != F.col("x.class")))).alias("outer"))
+    common = pairs.groupBy("host", "class", F.col("outer.class").alias("outer")).agg(F.count("*").alias("both"))
+    nested = common.join(classes.select("host", "class", "support"), ["host", "class"]).where("both = support").groupBy("host", "class").agg(F.count("*").cast("int").alias("level"))
+    kept = classes.join(nested, ["host", "class"], "left").where(F.col("valid") | (F.col("level").isNotNull() & (F.col("edge") >= EDGE_SHARE)))
+    own = staged(
+        frequent.drop("edge").join(kept.select("host", "class", F.coalesce("level", F.lit(0)).alias("level")), ["host", "class"])
+        .select("host", "token", "level", "support", (F.col("opens") >= OPENS).alias("opens")), "own-templates"
+    )
+    recurring = counted.groupBy("token").agg(F.count("*").alias("hosts"))
+    shared = (
+        own.groupBy("token").agg(F.count("*").alias("support"), F.avg(F.col("opens").cast("double")).alias("opens")).where(F.col("support") >= SHARED_HOSTS)
+        .join(recurring, "token").where(F.col("support") >= SHARED_PART * F.col("hosts"))
     )
-    return frequent.groupBy("host").applyInArrow(_template, TEMPLATE_SCHEMA)
+    return own.unionByName(shared.select(F.lit("").alias("host"), "token", F.lit(0).alias("level"), "support", (F.col("opens") >= 0.5).alias("opens")))
 
 
 LABELS = "tbl string, row_id long, line_no int, origin string"
 
 
-def label_lines(documents: DataFrame, templates: DataFrame) -> DataFrame:
+def template_flags(lines: list[str], title: str | None, template: dict[int, bool]) -> list[str | None]:
+    """Origin of each stripped line by the template alone: `template`, `slot` for
+    titles of a slot the template opens, None for the rest.  `template` maps
+    tokens to whether they open a slot.  The page's own title is never of it."""
+    out: list[str | None] = [None] * len(lines)
+    run = False
+    after = runs_of_titles(lines, title)
+    for i, line in enumerate(lines):
+        if not line or line == title:
+            run = False
+            continue
+        own = line_tokens(line)
+        if own and all(t in template for t in own):
+            out[i] = "template"
+            run = after[i] >= RUN and any(template[t] for t in own)
+        elif run and title_like(line):
+            out[i] = "slot"
+        else:
+            run = False
+    return out
+
+
+def label_lines(documents: DataFrame, templates: DataFrame, wording: bool = True) -> DataFrame:
     """(tbl, row_id, line_no, origin) of each line of site furniture; `origin` is
-    `template` for lines the host's template holds and `slot` for lines between
-    them that are furniture by their wording.
+    `template` for lines of the host's or the shared template, `slot` for titles
+    in a slot that the template opens, and `wording` for lines that only the
+    lists of wordings tell.  With `wording` false those lists are not used.
 
     `documents` has (tbl, row_id, url, title, text); `templates` comes from
-    `deduce_templates`.  Null and empty texts have no lines; of hosts without
-    template all lines are slots.  A page's own title is never a template line.
+    `deduce_templates`.  Null and empty texts have no lines.  A page's own title
+    is never a template line.
     """
-    known = staged(templates.select("host", "token"), "templates")
+    known = staged(templates.select("host", "token", "opens"), "templates")
     texts = documents.select("tbl", F.col("row_id").cast("long"), "title", "text", host_of(F.col("url")).alias("host"))
-    by_host: dict[str, set[int]] = {}
-    if known.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
+    # of the shared template there is one row for each wording that several hosts have
+    common = known.where("host = ''")
+    by_host: dict[str, dict[int, bool]] = {"": {}}
+    if staged_bytes(known) <= BROADCAST_BYTES:
         for r in known.collect():
-            by_host.setdefault(r.host, set()).add(r.token)
-        columns = texts.select("tbl", "row_id", "title", "text", "host", F.lit(None).cast("array<long>").alias("tokens"))
+            by_host.setdefault(r.host, {})[r.token] = r.opens
+        columns = texts.select("tbl", "row_id", "title", "text", "host", F.lit(None).cast("array<struct<token:bigint,opens:boolean>>").alias("tokens"))
     else:
-        sets = known.groupBy("host").agg(F.collect_list("token").alias("tokens"))  # bounded for each host, see above
-        columns = texts.join(sets, "host", "left").select("tbl", "row_id", "title", "text", "host", "tokens")
+        held = known.where("host != ''").groupBy("host").agg(F.collect_list(F.struct("token", "opens")).alias("tokens"))  # bounded for each host, see above
+        if staged_bytes(staged(common, "shared-template")) > BROADCAST_BYTES:
+            raise ValueError("the shared template is larger than any set of wordings; raise SHARED_HOSTS")
+        by_host[""] = {r.token: r.opens for r in common.collect()}
+        columns = texts.join(held, "host", "left").select("tbl", "row_id", "title", "text", "host", F.coalesce("tokens", F.array().cast("array<struct<token:bigint,opens:boolean>>")).alias("tokens"))
     shared = documents.sparkSession.sparkContext.broadcast(by_host)
     schema = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("line_no", pa.int32()), ("origin", pa.string())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged: dict[str, dict[int, bool]] = {}
         for batch in slices(batches):
             tbls, ids, numbers, origins = [], [], [], []
             for tbl, row_id, title, text, host, tokens in zip(*(c.to_pylist() for c in batch.columns)):
                 if not text:
                     continue
-                lines = text.split("\n")
-                template = shared.value.get(host) if tokens is None else set(tokens)
-                held = [bool(line) and len(line) <= LONGEST_TOKEN and token_hash(line) in template and line.strip(" ") != title for line in lines] if template else [False] * len(lines)
-                for i, flag in enumerate(furniture_flags(lines, title, template=held)):
-                    if flag:
+                if tokens is not None:
+                    template = {**shared.value[""], **{x["token"]: x["opens"] for x in tokens}}
+                elif host in merged:
+                    template = merged[host]
+                else:
+                    template = merged[host] = {**shared.value[""], **shared.value.get(host, {})}
+                lines = [line.strip() for line in text.split("\n")]
+                found = template_flags(lines, title, template)
+                if wording:
+                    flags = furniture_flags(lines, title, template=[x is not None for x in found])
+                    found = [(x or "wording") if flag else None for x, flag in zip(found, flags)]
+                for i, origin in enumerate(found):
+                    if origin:
                         tbls.append(tbl)
                         ids.append(row_id)
                         numbers.append(i + 1)
-                        origins.append("template" if held[i] else "slot")
+                        origins.append(origin)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((tbls, ids, numbers, origins), schema.types)], schema=schema)
 
     return columns.mapInArrow(label, LABELS)
@@ -198,7 +272,7 @@ def stored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduce_templates(table(spark, sf_dir, "indexed_pages").select("url", F.col("content").alias("text")))
+    return deduce_templates(table(spark, sf_dir, "indexed_pages").select("url", "title", F.col("content").alias("text")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,35 +167,35 @@ def title_like(line: str, longest: int = 80, most_words: int = 11) -> bool:
     return not _NO_TITLE.search(line)
 
 
-def furniture_flags(lines: list[str], title: str | None = None, most_related: int = 5, template: list[bool] | None = None) -> list[bool]:
+def furniture_flags(lines: list[str], title: str | None = None, template: list[bool] | None = None) -> list[bool]:
     """One flag per line, True for site furniture; blank lines are False.
 
     `lines` are the raw lines; those `template` marks are furniture already, and
-    only the others are typed by their wording.  A related block is its heading and at most
-    `most_related` title-like lines after it; it ends at a blank line, at a
-    sentence, at any other furniture and, after the first `LEAST_RELATED`, at the
-    page's own title.  An empty
-    page gives an empty list.
+    only the others are typed by their wording.  The lists know lines of up to
+    200 characters; longer furniture is found by the host's template.  A related
+    block is its heading and the title-like lines after it; it ends by form: at a
+    blank line, at a sentence, at any other furniture and, after the first
+    `LEAST_RELATED`, at the page's own title.  An empty page gives an empty list.
     """
     out = [False] * len(lines)
-    room = 0
+    taken = -1  # titles of the related block so far; -1 outside of one
     for i, raw in enumerate(lines):
         line = raw.strip()
         if not line:
-            room = 0
+            taken = -1
             continue
         kind = wording(line) if len(line) <= 200 else BODY
-        if kind == FURNITURE or (kind == BODY and template and template[i]):
+        if kind == RELATED_HEAD:
             out[i] = True
-            room = 0
-        elif kind == RELATED_HEAD:
+            taken = 0
+        elif kind == FURNITURE or (template and template[i]):
             out[i] = True
-            room = most_related
-        elif room:
+            taken = -1
+        elif taken >= 0:
             # the page's own title may be among the related ones, but not after the block
-            if title_like(line) and (line != title or room > most_related - LEAST_RELATED):
+            if title_like(line) and (line != title or taken < LEAST_RELATED):
                 out[i] = True
-                room -= 1
+                taken += 1
             else:
-                room = 0
+                taken = -1
     return out

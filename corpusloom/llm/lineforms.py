@@ -135,47 +135,50 @@ def _symbolic(line: str, n: int, letters: int, words: list[str]) -> bool:
 _TERM = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
-def stuffing(words: list[str]) -> float:
-    """Share of the three most frequent terms among the words of three letters
-    and more; 0 for no words."""
-    terms = [w for w in words if len(w) > 2]
-    return sum(c for _, c in Counter(terms).most_common(3)) / len(terms) if terms else 0.0
+def dominance(terms: list[str], common: frozenset[str], top: int = 3) -> float:
+    """Repetition by dominant terms: the share of the characters of all terms
+    that repeats of the `top` most repeated terms cover, beyond their first
+    occurrence.  Common words and those of one or two letters do not dominate."""
+    total = sum(map(len, terms))
+    repeats = sorted(((c - 1) * len(t) for t, c in Counter(terms).items() if c > 1 and len(t) > 2 and t not in common), reverse=True)
+    return sum(repeats[:top]) / total if total else 0.0
 
 
 #: Fixed thresholds of the combined rules of `page_form`.
 MOST = 0.5  # share of the body's characters that decides its form
-STUFFED_TOP = 0.42  # share of the three top terms from which lines of bare terms are stuffing
-STUFFED_WORDS = 36  # words of bare lines below which nothing is called stuffing
-BARE = 0.1  # share of common words below which a line consists of bare terms
+DOMINANT = 0.31  # coverage by dominant terms from which lines of bare terms are stuffing
+DOMINANT_TERMS = 36  # terms of such lines below which nothing is called stuffing: on a line or two, terms come back by chance
+SPARSE = 0.12  # share of common words below which a line consists of bare terms
 TITLE_WORDS = 6.2  # mean words a line below which unmarked lines are entries, not sentences
 
 
-def page_form(body: list[str], common: frozenset[str]) -> tuple[str, dict[str, float], list[str]]:
+def page_form(body: list[str], common: frozenset[str], repetition: bool = True) -> tuple[str, dict[str, float], list[str]]:
     """Form of a page by its stripped, non-blank body lines: `prose`, `list`,
     `table`, `junk`, `keywords` (stuffing, which counts as junk) or `empty`.
 
-    Returns the form, the shares it was decided by, and the form of each line.
-    `common` are the common words of all languages, lower case.
+    The repetition of dominant terms decides first: lines without common words
+    that make up most of the body, and in which a few terms come back throughout,
+    are stuffing whatever their form.  Then the form with most characters counts.  Returns the form, the
+    shares it was decided by, and the form of each line.  `common` are the common
+    words of all languages, lower case; `repetition` false leaves that rule out.
     """
     if not body:
         return "empty", {}, []
     forms: list[str] = []
     chars: Counter[str] = Counter()
     count: Counter[str] = Counter()
-    loose_words = loose_lines = bare_chars = n_words = n_common = 0
+    loose_words = loose_lines = bare_chars = n_terms = n_common = 0
     bare: list[str] = []
     for line in body:
         form = line_form(line)
         forms.append(form)
-        words = line.lower().split()
-        shared = sum(map(common.__contains__, words))
-        n_words += len(words)
+        terms = _TERM.findall(line.lower())
+        shared = sum(map(common.__contains__, terms))
+        n_terms += len(terms)
         n_common += shared
-        if shared < BARE * len(words) and form not in (ENTRY, CELLS, JUNK):
-            terms = _TERM.findall(line.lower())
-            if len(terms) >= 2 and sum(map(common.__contains__, terms)) < BARE * len(terms):
-                bare += terms
-                bare_chars += len(line)
+        if form not in (ENTRY, CELLS, JUNK) and len(terms) >= 2 and shared < SPARSE * len(terms):
+            bare += terms
+            bare_chars += len(line)
         if form in (PROSE, HEADING) and not _SENTENCE_END.search(line):
             loose_lines += 1
             loose_words += line.count(" ") + 1
@@ -184,9 +187,8 @@ def page_form(body: list[str], common: frozenset[str]) -> tuple[str, dict[str, f
         chars[form] += len(line)
         count[form] += 1
     total = sum(chars.values())
-    top = stuffing(bare)
-    shares = {"top": top, "bare": bare_chars / total, "common": n_common / n_words if n_words else 0.0, **{f: c / total for f, c in chars.items()}}
-    if bare_chars > MOST * total and top >= STUFFED_TOP and len(bare) >= STUFFED_WORDS:
+    shares = {"dominance": dominance(bare, common), "bare": bare_chars / total, "common": n_common / n_terms if n_terms else 0.0, **{f: c / total for f, c in chars.items()}}
+    if repetition and bare_chars > MOST * total and shares["dominance"] >= DOMINANT and len(bare) >= DOMINANT_TERMS:
         return "keywords", shares, forms
     entries = chars[ENTRY] + chars[LABELS]
     prose = chars[PROSE]

@@ -120,27 +120,42 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str, common: frozenset
     )
 
 
-#: Repetition from which a body that is not running prose counts as stuffed, whatever its words.
-STUFFED_BIGRAM, STUFFED_LINES = 0.2, 0.5
+#: Combined rules for bodies whose lines look like sentences but hold hardly any common words: repeated
+#: word pairs (as share of the characters), lines or paragraphs from which they are junk.
+SCARCE, REPEATED_PAIRS, REPEATED_LINES = 0.1, 0.2, 0.5
+#: The same for lists and tables: entries of which most are copies of another are no list but junk.
+COPIED_LINES = 0.5
 
 
-def kind_of(text: str, title: str | None, common: frozenset[str]) -> str | None:
+def kind_of(text: str, title: str | None, common: frozenset[str], by_repetition: bool = True) -> str | None:
     """`list`, `table` or `junk` for a page whose body is for the most part not
-    prose, else None.  Combined rules: the forms of the body lines decide, and
-    the repetition statistics turn repeated bare terms into junk."""
+    prose, else None.
+
+    Combined rules: repetition of dominant terms tells stuffing (`page_form`),
+    then the forms of the lines count, then duplicate lines and paragraphs and
+    the dominant word pairs turn what is repeated into junk.  With
+    `by_repetition` false the forms alone decide."""
     lines = text.split("\n")
-    body = [s for line, furniture in zip(lines, furniture_flags(lines, title)) if not furniture and (s := line.strip())]
-    form, shares, _ = page_form(body, common)
-    if form in ("prose", "empty"):
-        if form == "prose" and shares["common"] < 0.1 and len(body) > 2:
-            words = " ".join(body).lower().split()
-            if repetition(words)[0] > STUFFED_BIGRAM or 1 - len(set(body)) / len(body) > STUFFED_LINES:
-                return "junk"
+    flags = furniture_flags(lines, title)
+    body = [s for line, furniture in zip(lines, flags) if not furniture and (s := line.strip())]
+    form, shares, _ = page_form(body, common, by_repetition)
+    if form == "empty":
         return None
-    return "junk" if form == "keywords" else form
+    if form == "keywords":
+        return "junk"
+    if by_repetition and len(body) > 2:
+        copied = 1 - len(set(body)) / len(body)
+        if form == "prose" and shares["common"] < SCARCE:
+            paragraphs = [p for p in ("\n".join(x for x, f in zip(lines, flags) if not f)).split("\n\n") if p.strip()]
+            pairs = repetition(" ".join(body).lower().split())[0]
+            if pairs > REPEATED_PAIRS or max(copied, 1 - len(set(paragraphs)) / max(1, len(paragraphs))) > REPEATED_LINES:
+                return "junk"
+        elif form != "prose" and copied > COPIED_LINES:
+            return "junk"
+    return None if form == "prose" else form
 
 
-def page_kinds(pages: DataFrame, common: frozenset[str]) -> DataFrame:
+def page_kinds(pages: DataFrame, common: frozenset[str], by_repetition: bool = True) -> DataFrame:
     """(page_id, kind) of `pages` (id, title, content, word_count): the kind of
     each page that is not prose, and `miscounted` where the stored word count is
     null or not the number of whitespace-separated words of the content.
@@ -151,7 +166,7 @@ def page_kinds(pages: DataFrame, common: frozenset[str]) -> DataFrame:
 
     def per_row(page_id, title, content, stored):
         content = content or ""
-        kind = kind_of(content, title, common) if content else None
+        kind = kind_of(content, title, common, by_repetition) if content else None
         if kind:
             yield page_id, kind
         if stored is None or stored != len(content.split()):

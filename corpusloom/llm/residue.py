@@ -4,19 +4,23 @@ Three kinds of evidence are combined.
 
 * Detectors: unfilled placeholders in the usual template notations, filler text,
   and lines that are an error message or a notice that scripts are required.
-* Address, title and body: a response whose few body terms share nothing with
-  the terms of its address slug and its title is mismatched.
-* Host evidence: a mismatched response of little information whose wording, with
-  numbers, names and addresses masked, comes back under many addresses of
-  several hosts is residue even if no detector knows its wording.
-
-The detectors run row by row in Arrow batches.  Only rows of little information
-take part in the one shuffle, which counts wordings with map-side combining.
+* Address, title and body: a title is mismatched if none of its terms stands in
+  the page's body or address; a response of little information, if no line of
+  its body has a term in common with the title, the address or another line.
+* Host evidence: a mismatched title or response whose wording, with numbers, names
+  and addresses masked, comes back under many addresses of several hosts is
+  residue even if no detector knows it.  For titles the terms
+  are weighed, too: over all pages that have a term in their title, the share on
+  which the body has it as well tells words of content from words of residue.
+
+All comparisons are made row by row in Arrow batches.  What is shuffled are the
+hashes of mismatched responses and of titles, with map-side combining.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,8 +31,8 @@ from pyspark.sql import functions as F
 from ..plans.staging import staged
 from .boilerplate import host_of
 from .furniture import furniture_flags, title_like
-from .lineforms import line_form
-from .tables import slices, table
+from .lineforms import PROSE, line_form
+from .tables import common_words, slices, table
 
 # --- fixed values -----------------------------------------------------------
 # Names that stand for fields of a template.
@@ -118,8 +122,8 @@ _TITLE = re.compile("(?:" + "|".join(RESIDUE_TITLES) + r")\Z", re.I)
 _LOREM_HINT = re.compile(r"\b(?:dolor|lorem|ipsum|aliqua|consectetur|adipiscing|veniam|nostrud|ullamco|cillum|fugiat|eiusmod|occaecat|cupidatat|proident|laboris|commodo|excepteur|incididunt)\b", re.I)
 _LATIN = re.compile(r"[A-Za-z]+")
 _WORD = re.compile(r"[^\W\d_]{3,}")
-#: A notice is one or two short sentences.
-LONGEST_NOTICE = 160
+_SENTENCE = re.compile(r"[.!?…]\s")
+LONGEST_NOTICE = 160  # characters of a notice of one or two short sentences; of longer lines the first sentence decides
 
 
 def placeholders(text: str) -> bool:
@@ -128,26 +132,39 @@ def placeholders(text: str) -> bool:
     return any(sign in text and pattern.search(text) for sign, pattern in _PLACEHOLDERS)
 
 
-def filler(line: str) -> bool:
-    """Whether a stripped line is filler text."""
-    if len(line) <= LONGEST_NOTICE and _FILLER.match(line):
-        return True
+def lorem(line: str) -> bool:
+    """Whether a line is the usual filler in Latin words."""
     if _LOREM_HINT.search(line):
         words = _LATIN.findall(line.lower())
         return len(words) >= 3 and sum(w in LOREM for w in words) >= 0.75 * len(words)
     return False
 
 
+def _first_sentences(line: str) -> str:
+    """A line of up to `LONGEST_NOTICE` characters, of a longer one the sentences
+    that begin within them."""
+    if len(line) <= LONGEST_NOTICE:
+        return line
+    ends = [m.end() for m in _SENTENCE.finditer(line, 0, LONGEST_NOTICE)]
+    return line[: ends[0]].rstrip() if ends else ""
+
+
+def filler(line: str) -> bool:
+    """Whether a stripped line is filler text.  A line that is longer than a
+    notice counts by its first sentence."""
+    return _FILLER.match(_first_sentences(line)) is not None or lorem(line)
+
+
 def notice(line: str) -> bool:
-    """Whether a stripped line is an error message or a notice about scripts."""
-    return len(line) <= LONGEST_NOTICE and _NOTICE.match(line) is not None
+    """Whether a stripped line is an error message or a notice about scripts.  A
+    line that is longer than a notice counts by its first sentence."""
+    return _NOTICE.match(_first_sentences(line)) is not None
 
 
 def residue_text(text: str) -> bool:
-    """Whether a text is residue wholly or in places."""
-    if placeholders(text):
-        return True
-    return any(notice(line) or filler(line) for line in map(str.strip, text.split("\n")) if line)
+    """Whether a text is residue wholly or in places, by placeholders or the lists
+    of wordings."""
+    return placeholders(text) or any(notice(line) or filler(line) for line in map(str.strip, text.split("\n")) if line)
 
 
 def residue_title(title: str) -> bool:
@@ -164,78 +181,126 @@ def only_notice(body: list[str]) -> bool:
 
 
 # --- combined evidence ------------------------------------------------------
-FEW_WORDS = 40  # body words up to which a response has little information
 MANY_URLS, MANY_HOSTS = 5, 3  # addresses and hosts of a wording that comes back everywhere
 MISMATCHED_SHARE = 0.8  # share of a wording's rows that must be mismatched
+CONTENT_RATE = 0.2  # share of a title term's pages whose body has it, from which it is a word of content
+LINE_TERMS = 2  # terms of a line that can be told to be mismatched
+
+_ADDRESS = re.compile(r"\S*\w\.(?:[a-z]{2,}|[a-z]+/)\S*")
 
 _MASK = re.compile(r"\S*\w\.(?:[a-z]{2,}|[a-z]+/)\S*|\b(?=\w*\d)\w+\b|(?<!^)(?<![.!?] )\b[A-Z]\w*(?: [A-Z]\w*)*")
 
 
-def _wording_hash(body: list[str]) -> int:
-    masked = "\n".join(_MASK.sub("0", line) for line in body).lower()
-    h = xxhash.xxh64_intdigest(masked.encode())
+def _wording_hash(text: str) -> int:
+    h = xxhash.xxh64_intdigest(_MASK.sub("0", text).lower().encode("utf-8", "surrogatepass"))
     return h - (1 << 64) if h >> 63 else h
 
 
-def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        found: list[list] = [[] for _ in range(6)]
-        for tbl, row_id, url, title, text in zip(*(c.to_pylist() for c in batch.columns)):
-            wording = None
-            mismatched = False
-            if tbl == "indexed_pages":
-                hit = title is not None and residue_title(title)
-            else:
-                text = text or ""
-                hit = residue_text(text)
-                if len(text) < 1500:
-                    lines = text.split("\n")
-                    body = [s for line, f in zip(lines, furniture_flags(lines, title)) if not f and (s := line.strip())]
-                    terms = {w.lower() for line in body for w in _WORD.findall(line)}
-                    if body and sum(line.count(" ") + 1 for line in body) <= FEW_WORDS and all(line_form(b) == "P" for b in body) and not all(map(title_like, body)):
-                        slug = {w.lower() for w in _WORD.findall((url or "").partition("://")[2].partition("/")[2])}
-                        named = {w.lower() for w in _WORD.findall(title or "")}
-                        mismatched = not terms & slug and len(terms & named) <= 0.2 * len(named)
-                        wording = _wording_hash(body)
-            if hit or wording is not None:
-                for column, value in zip(found, (tbl, row_id, hit, wording, mismatched, url if wording is not None else None)):
-                    column.append(value)
-        types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types)], names=["tbl", "row_id", "hit", "wording", "mismatched", "url"])
-
-
-def residue(documents: DataFrame) -> DataFrame:
+def terms_of(text: str, common: frozenset[str]) -> set[str]:
+    """Words of three letters and more, lower case, without the common ones."""
+    return {w for w in _WORD.findall(text.lower()) if w not in common}
+
+
+def mismatched_response(body: list[str], known: set[str], common: frozenset[str]) -> list[str]:
+    """The lines of a body of little information: sentences, apart from a heading
+    before them, none of which has a term in common with `known` or with another
+    line.  A body with any other line gives none; repeated lines count once."""
+    lines = list(dict.fromkeys(body))
+    if len(lines) > 1 and title_like(lines[0]):
+        lines = lines[1:]
+    seen = set(known)
+    for line in lines:
+        terms = terms_of(_ADDRESS.sub(" ", line), common)
+        if len(terms) < LINE_TERMS or terms & seen or "`" in line or line_form(line) != PROSE:
+            return []
+        seen |= terms
+    return lines
+
+
+EVIDENCE = "tbl string, row_id long, hit boolean, wording long, mismatched boolean, url string, terms array<string>, matched array<boolean>"
+_EVIDENCE = pa.schema([
+    ("tbl", pa.string()), ("row_id", pa.int64()), ("hit", pa.bool_()), ("wording", pa.int64()), ("mismatched", pa.bool_()), ("url", pa.string()),
+    ("terms", pa.list_(pa.string())), ("matched", pa.list_(pa.bool_())),
+])
+
+
+def _title_evidence(tbl, row_id, url, title, text, common, lists):
+    """The title against slug and body of its page."""
+    if title is None:
+        return
+    hit = placeholders(title) or lorem(title) or (lists and residue_title(title))
+    terms = sorted(terms_of(title, common))
+    slug = (url or "").partition("://")[2].partition("/")[2].lower()
+    # the title as a line of the body does not speak for itself
+    named = title.strip().lower()
+    lines = (text or "").lower().split("\n")
+    body = "\n".join(line for line in lines if line.strip() != named)
+    # the first letters of a word: other forms of it match, too
+    matched = [t[:6] in body or t[:6] in slug for t in terms]
+    yield tbl, row_id, hit, _wording_hash(title) if terms else None, not any(matched) and len(body) == sum(map(len, lines)) + len(lines) - 1, url, terms, matched
+
+
+def _text_evidence(tbl, row_id, url, title, text, common, lists):
+    """The body against slug and title."""
+    text = text or ""
+    if residue_text(text) if lists else placeholders(text) or any(map(lorem, map(str.strip, text.split("\n")))):
+        yield tbl, row_id, True, None, False, None, None, None
+        return
+    lines = text.split("\n")
+    body = [s for line, f in zip(lines, furniture_flags(lines, title)) if not f and (s := line.strip())]
+    slug = (url or "").partition("://")[2].partition("/")[2]
+    for line in mismatched_response(body, terms_of(slug, common) | terms_of(title or "", common), common):
+        yield tbl, row_id, False, _wording_hash(line), True, url, None, None
+
+
+def residue(documents: DataFrame, common: frozenset[str] = frozenset(), lists: bool = True) -> DataFrame:
     """(tbl, row_id) of the rows that are residue.
 
     `documents` has (tbl, row_id, url, title, text); of `indexed_pages` the title
     decides, of all other tables the text.  A null title or text is none.
+    `common` are words that are no terms.  With `lists` false the lists of
+    notices, filler lines and titles are not used: placeholders, Latin filler and
+    host evidence alone decide.
     """
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                found += (_title_evidence if row[0] == "indexed_pages" else _text_evidence)(*row, common, lists)
+            columns = list(zip(*found)) if found else [()] * len(_EVIDENCE)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _EVIDENCE.types)], schema=_EVIDENCE)
+
     columns = documents.select("tbl", F.col("row_id").cast("long"), "url", "title", "text")
-    told = staged(
-        columns.mapInArrow(_evidence, "tbl string, row_id long, hit boolean, wording long, mismatched boolean, url string"), "residue"
-    )
-    low = told.where("wording is not null")
-    per_wording = (
-        low.groupBy("wording").agg(
+    told = staged(columns.mapInArrow(evidence, EVIDENCE), "residue")
+    of_titles = F.col("tbl") == "indexed_pages"
+    repeated = (
+        told.where("wording is not null").groupBy(of_titles.alias("of_title"), "wording").agg(
             F.approx_count_distinct("url").alias("urls"), F.approx_count_distinct(host_of(F.col("url"))).alias("hosts"),
             F.avg(F.col("mismatched").cast("double")).alias("share"),
         )
         .where((F.col("urls") >= MANY_URLS) & (F.col("hosts") >= MANY_HOSTS) & (F.col("share") >= MISMATCHED_SHARE))
-        .select("wording")
+        .select("of_title", "wording")
     )
-    by_wording = low.where(~F.col("hit") & F.col("mismatched")).join(per_wording, "wording", "left_semi").select("tbl", "row_id")
-    return told.where("hit").select("tbl", "row_id").unionByName(by_wording)
+    suspects = told.where("mismatched and not hit").withColumn("of_title", of_titles).join(repeated, ["of_title", "wording"], "left_semi")
+    rates = (
+        told.where(of_titles).select(F.explode(F.arrays_zip("terms", "matched")).alias("x"))
+        .groupBy(F.col("x.terms").alias("term")).agg(F.avg(F.col("x.matched").cast("double")).alias("rate"))
+    )
+    titles = suspects.where("of_title").select("tbl", "row_id", F.explode("terms").alias("term")).join(rates, "term").groupBy("tbl", "row_id").agg(F.max("rate").alias("rate"))
+    parts = [told.where("hit"), suspects.where("not of_title"), titles.where(F.col("rate") < CONTENT_RATE)]
+    return parts[0].select("tbl", "row_id").unionByName(parts[1].select("tbl", "row_id").distinct()).unionByName(parts[2].select("tbl", "row_id"))
+
+
+def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tbl, row_id, url, title, text) of both tables."""
+    pages = table(spark, sf_dir, "indexed_pages").select(F.lit("indexed_pages").alias("tbl"), F.col("id").alias("row_id"), "url", "title", F.col("content").alias("text"))
+    versions = table(spark, sf_dir, "page_versions").select(F.lit("page_versions").alias("tbl"), F.col("id").alias("row_id"), "url", "title", F.col("text_content").alias("text"))
+    return pages.unionByName(versions)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # of indexed_pages only the title decides: its content is not even read
-    pages = table(spark, sf_dir, "indexed_pages").select(
-        F.lit("indexed_pages").alias("tbl"), F.col("id").alias("row_id"), F.lit(None).cast("string").alias("url"), "title", F.lit(None).cast("string").alias("text")
-    )
-    versions = table(spark, sf_dir, "page_versions").select(
-        F.lit("page_versions").alias("tbl"), F.col("id").alias("row_id"), "url", "title", F.col("text_content").alias("text")
-    )
-    return residue(pages.unionByName(versions))
+    return residue(stored_rows(spark, sf_dir), common_words(spark, sf_dir))
 
 
 QUERIES = {"p4_found": p4_found}

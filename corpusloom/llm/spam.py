@@ -1,14 +1,16 @@
 """Problem 6: pages of repeated keywords, link lists and product labels.
 
 Every page gets a few features of its body: density of links and labels, term
-entropy, repetition, function words and marked sentences.  Per language the
-location and scatter of these features are estimated robustly over all pages
+entropy, repetition, function words, marked sentences, signs and list marks.  Per language
+the location and scatter of these features are estimated robustly over all pages
 (medians first, then concentration steps over the pages near the centre), and
 each page gets its Mahalanobis distance.  A page is spam when it is an outlier
 and its deviation lies in a direction of spam: more repetition and fewer
 function words (`keywords`), entries that are the page's own links (`links`),
-labels of products (`tags`).  Tables, other lists and machine text are outliers,
-too, but in other directions.
+labels of products (`tags`).  Directions are where a page of nothing but this
+kind would be; features being shares, a page half of which is spam lies half way
+there.  Tables, other lists and machine text are outliers, too, but in other
+directions.  No other rule and no form of lines decides.
 
 The features are computed once, in Arrow batches, and staged as a narrow table.
 Links enter by hash: only the hashes of a page's entries meet those of its
@@ -31,17 +33,35 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import staged
 from .furniture import furniture_flags
-from .lineforms import page_form
 from .tables import slices, small_rows, table
 
-FEATURES = ["link_density", "label_density", "entropy", "repetition", "function_words", "marked"]
+FEATURES = ["link_density", "label_density", "entropy", "repetition", "function_words", "marked", "signs", "listed"]
 #: Scatter every feature has at least: most pages share the value 0 of some of them.
-FLOOR = np.array([0.05, 0.05, 0.04, 0.04, 0.05, 0.1]) ** 2
+FLOOR = np.array([0.05, 0.05, 0.04, 0.04, 0.05, 0.1, 0.03, 0.1]) ** 2
 NEAR = 3.0  # distance, in scatters, up to which a page takes part in a concentration step
 STEPS = 2  # concentration steps
-CUTOFF = 16.81  # squared distance of an outlier: chi square, 6 degrees of freedom, p = 0.99
+CUTOFF = 13.36  # squared distance of an outlier: chi square, 8 degrees of freedom, p = 0.9
+TOP_TERMS = 3  # terms whose repetition is measured
+FEW_TERMS = 12  # words by which the repetition of a page is damped: on a page of two lines a term comes back by chance
+#: What the features of a page are where its whole body is of a kind; features that are not named are
+#: those of the language.  The deviation of such a page from the centre is the kind's direction; keywords
+#: come as sentences and as bare terms.
+SPAM = {
+    "links": {"link_density": 1.0, "marked": 0.0},
+    "tags": {"label_density": 1.0, "function_words": 0.0, "marked": 0.0},
+    "keywords": {"repetition": 0.5, "function_words": 0.0, "entropy": 0.6},
+    "bare keywords": {"repetition": 0.5, "function_words": 0.0, "entropy": 0.6, "marked": 0.0},
+}
+#: Directions of outliers that are no spam: lists of other entries, machine text, tables.
+OTHERS = {
+    "list": {"listed": 1.0, "function_words": 0.0, "marked": 0.0, "repetition": 0.3},
+    "bare list": {"function_words": 0.0, "marked": 0.0, "repetition": 0.2},
+    "machine": {"function_words": 0.05, "marked": 0.0, "signs": 0.4, "entropy": 0.6, "repetition": 0.4},
+    "table": {"marked": 0.0, "signs": 0.5, "function_words": 0.15},
+}
+ALIGNED = 0.65  # cosine between deviation and direction from which a page is of the kind
 SPOKEN = 0.05  # share of function words up to which a page has no language
-MOST = 0.5  # share of the body that must be entries of the kind
+MOST = 0.5  # part of a direction's length a deviation must reach: a page of which half is spam deviates by half
 
 _TERM = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _URL = re.compile(r"(?:https?://)?(?:[\w-]+\.)+[a-z]{2,}(?::\d+)?(?:/[^\s<>()\[\]]*)?", re.I)
@@ -105,12 +125,12 @@ def is_label(line: str) -> bool:
 
 
 FEATURE_SCHEMA = (
-    "page_id long, url string, lang string, form string, label_density double, entropy double, repetition double, "
-    "function_words double, marked double, entry_keys array<array<long>>, entry_chars array<int>, body_chars int"
+    "page_id long, url string, lang string, label_density double, entropy double, repetition double, "
+    "function_words double, marked double, signs double, listed double, entry_keys array<array<long>>, entry_chars array<int>, body_chars int"
 )
 _ARROW = pa.schema([
-    ("page_id", pa.int64()), ("url", pa.string()), ("lang", pa.string()), ("form", pa.string()), ("label_density", pa.float64()), ("entropy", pa.float64()),
-    ("repetition", pa.float64()), ("function_words", pa.float64()), ("marked", pa.float64()),
+    ("page_id", pa.int64()), ("url", pa.string()), ("lang", pa.string()), ("label_density", pa.float64()), ("entropy", pa.float64()),
+    ("repetition", pa.float64()), ("function_words", pa.float64()), ("marked", pa.float64()), ("signs", pa.float64()), ("listed", pa.float64()),
     ("entry_keys", pa.list_(pa.list_(pa.int64()))), ("entry_chars", pa.list_(pa.int32())), ("body_chars", pa.int32()),
 ])
 
@@ -123,7 +143,6 @@ def page_features(pages: DataFrame, words: dict[str, list[str]]) -> DataFrame:
     A null or empty content gives zeros and no entries.
     """
     languages = {w: tuple(lang for lang, own in words.items() if w in own) for w in {w for own in words.values() for w in own}}
-    common = frozenset(languages)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -132,33 +151,41 @@ def page_features(pages: DataFrame, words: dict[str, list[str]]) -> DataFrame:
                 lines = (content or "").split("\n")
                 body = [s for line, f in zip(lines, furniture_flags(lines, title)) if not f and (s := line.strip())]
                 total = sum(map(len, body))
-                form = page_form(body, common)[0]
-                tokens = _TERM.findall(" ".join(body).lower())
+                joined = " ".join(body).lower()
+                tokens = _TERM.findall(joined)
                 counts = Counter(tokens)
                 n = len(tokens)
                 entropy = -sum(c / n * math.log(c / n) for c in counts.values()) / math.log(n) if n > 1 else 0.0
                 votes: Counter[str] = Counter()
                 function = 0
-                for token, count in counts.items():
-                    own = languages.get(token)
-                    if own:
-                        function += count
-                        for lang in own:
-                            votes[lang] += count
+                for token in counts.keys() & languages.keys():
+                    function += counts[token]
+                    for lang in languages[token]:
+                        votes[lang] += counts[token]
                 lang = max(votes, key=lambda x: (votes[x], x)) if function > SPOKEN * n else "none"
-                content_words = [c for t, c in counts.most_common(40) if t not in common and len(t) > 2][:3]
+                top = sorted((c for t, c in counts.items() if len(t) > 2 and t not in languages), reverse=True)[:TOP_TERMS]
+                # terms come back throughout a page: what each has beyond a single use counts
+                repeated = sum(c - 1 for c in top)
                 others = n - function
-                keys, chars, label = [], [], 0
-                if form not in ("prose", "table", "empty"):
-                    for line in body:
-                        label += len(line) if is_label(line) else 0
-                        if form in ("list", "keywords") and not (_SENTENCE_END.search(line) and line.count(" ") > 7 and "http" not in line):
-                            for own_keys, length in entry_keys(line):
-                                keys.append(own_keys)
-                                chars.append(length)
+                letters = sum(map(len, tokens))
+                filled = len(joined) - joined.count(" ")
+                keys, chars, label, marked, listed = [], [], 0, 0, 0
+                for line in body:
+                    if _SENTENCE_END.search(line) and line.count(" ") > 7:
+                        marked += len(line)
+                        if "http" not in line:
+                            # a sentence is one entry at most
+                            keys.append([signed_hash(line.strip(_TRIM))])
+                            chars.append(len(line))
+                            continue
+                    label += len(line) if is_label(line) else 0
+                    listed += len(line) if _LEAD.match(line) else 0
+                    for own_keys, length in entry_keys(line):
+                        keys.append(own_keys)
+                        chars.append(length)
                 row = (
-                    page_id, url, lang, form, label / total if total else 0.0, entropy, sum(content_words) / others if others else 0.0, function / n if n else 0.0,
-                    sum(len(x) for x in body if _SENTENCE_END.search(x)) / total if total else 0.0, keys, chars, total,
+                    page_id, url, lang, label / total if total else 0.0, entropy, repeated / (others + FEW_TERMS), function / n if n else 0.0,
+                    marked / total if total else 0.0, 1 - letters / filled if filled else 0.0, listed / total if total else 0.0, keys, chars, total,
                 )
                 for column, value in zip(out, row):
                     column.append(value)
@@ -196,7 +223,7 @@ def robust_scatter(features: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarra
     Pages without language are measured against all languages pooled.  What
     reaches the driver is a few sums for each language."""
     n = len(FEATURES)
-    spoken = features.where(F.col("lang") != "none")
+    spoken = features.select("lang", *FEATURES).where(F.col("lang") != "none")
     medians = small_rows(spoken.groupBy("lang").agg(F.count("*").alias("n"), *[F.percentile_approx(f, 0.5, 1000).alias(f) for f in FEATURES]))
     centre = {r.lang: np.array([float(r[f]) for f in FEATURES]) for r in medians}
     everything = sum(r.n for r in medians)
@@ -226,37 +253,54 @@ def _location(count: int, total: np.ndarray, products: np.ndarray) -> tuple[np.n
     return mean, np.linalg.inv(products / count - np.outer(mean, mean) + np.diag(FLOOR))
 
 
-def with_distance(features: DataFrame, robust: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Adds the squared Mahalanobis distance and each feature's deviation `d_...`
-    from the centre of the page's language."""
-    langs = sorted(robust)
-    array = lambda values: F.array(*[F.lit(float(v)) for v in values])
-    centres = F.create_map(*[x for lang in langs for x in (F.lit(lang), array(robust[lang][0]))])
-    inverses = F.create_map(*[x for lang in langs for x in (F.lit(lang), array(robust[lang][1].ravel()))])
-    n = len(FEATURES)
-    out = features.withColumn("_c", centres[F.col("lang")]).withColumn("_i", inverses[F.col("lang")])
-    for k, f in enumerate(FEATURES):
-        out = out.withColumn(f"d_{f}", F.col(f) - F.col("_c")[k])
-    distance = sum((F.col(f"d_{a}") * F.col(f"d_{b}") * F.col("_i")[i * n + j] for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES)), F.lit(0.0))
-    return out.withColumn("distance", distance).drop("_c", "_i")
+def with_distance(features: DataFrame, robust: dict[str, tuple[np.ndarray, np.ndarray]], directions: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """Adds the squared Mahalanobis distance from the centre of the page's
+    language and, for each of `directions`, `along_...`, the part of the
+    direction's length that the deviation reaches, and `cos_...`, the cosine
+    between both, in the metric of the language's scatter.  Computed for a whole
+    Arrow batch at once; a language without centre has no distance."""
+    directions = directions or {}
+    added = ["distance", *[f"{what}_{name}" for name in directions for what in ("along", "cos")]]
+    kept = features.columns
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.column_stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES])
+            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+            out = np.full((len(added), len(langs)), np.nan)
+            for lang, (centre, inverse) in robust.items():
+                own = np.flatnonzero(langs == lang)
+                deviation = values[own] - centre
+                distance = np.einsum("ij,jk,ik->i", deviation, inverse, deviation)
+                out[0, own] = distance
+                for k, wanted in enumerate(directions.values()):
+                    aim = np.array([wanted.get(f, c) for f, c in zip(FEATURES, centre)]) - centre
+                    length = max(1e-9, float(aim @ inverse @ aim))
+                    dot = deviation @ inverse @ aim
+                    out[1 + 2 * k, own] = dot / length
+                    out[2 + 2 * k, own] = dot / np.sqrt(length * np.maximum(1e-9, distance))
+            arrays = [*batch.columns, *[pa.array(x, pa.float64(), from_pandas=True) for x in out]]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *added])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema.fields) + "".join(f", `{x}` double" for x in added)
+    return features.mapInArrow(score, schema)
 
 
 def spam_pages(pages: DataFrame, links: DataFrame, words: dict[str, list[str]]) -> DataFrame:
     """(page_id, kind, distance) of the spam pages; `kind` is `keywords`, `links`
     or `tags`.
 
-    A page is spam if it is an outlier of its language and deviates in the
-    direction of a kind, with most of its body of that kind.  Of several, links
-    come before labels and labels before keywords.  Pages without body are none.
+    A page is spam if it is an outlier of its language, its deviation is aligned
+    with the direction of a kind more than with that of any other outliers, and
+    reaches half of that direction's length, as where half the body is of the
+    kind.  The best aligned kind counts, of equal ones the first of `SPAM`.
+    Pages without body are none.
     """
     measured = staged(page_features(pages, words), "spam-measured")
-    features = staged(with_links(measured, links).drop("entry_keys", "entry_chars"), "spam-features")
-    scored = with_distance(features, robust_scatter(features)).where(F.col("distance") > CUTOFF)
-    kind = (
-        F.when((F.col("d_link_density") > 0) & (F.col("link_density") > MOST), "links")
-        .when((F.col("d_label_density") > 0) & (F.col("label_density") > MOST) & (F.col("form") != "keywords"), "tags")
-        .when((F.col("d_repetition") > 0) & (F.col("d_function_words") < 0) & (F.col("form") == "keywords"), "keywords")
-    )
+    features = staged(with_links(measured, links).where("body_chars > 0").select("page_id", "lang", *FEATURES), "spam-features")
+    scored = with_distance(features, robust_scatter(features), {**SPAM, **OTHERS}).where(F.col("distance") > CUTOFF)
+    best = F.greatest(*[F.col(f"`cos_{k}`") for k in (*SPAM, *OTHERS)])
+    kind = F.coalesce(*[F.when((F.col(f"`cos_{k}`") >= F.greatest(best, F.lit(ALIGNED))) & (F.col(f"`along_{k}`") >= MOST), k.split()[-1]) for k in SPAM])
     return scored.select("page_id", kind.alias("kind"), "distance").where("kind is not null")
 
 

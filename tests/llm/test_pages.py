@@ -70,6 +70,15 @@ def test_page_kinds(spark):
     assert quality.page_kinds(spark.createDataFrame([], PAGES), COMMON).count() == 0
 
 
+def test_repetition_decides_stuffing():
+    """Sentences of a few terms that come back are junk by repetition alone."""
+    text = "\n".join(f"Looking for {a} lamp? Buy sofa, {b} sofa, lamp {a}, sofa lamp {b}. {a.upper()} LAMP!" for a, b in (("cheap", "new"), ("red", "used"), ("top", "best"), ("wide", "long")))
+    assert quality.kind_of(text, None, COMMON) == "junk"
+    assert quality.kind_of(text, None, COMMON, by_repetition=False) is None
+    assert quality.kind_of("\n".join(["* a lamp of old"] * 9), None, COMMON) == "junk"
+    assert quality.kind_of("\n".join(f"* a lamp of {x}" for x in "abcdefghi"), None, COMMON) == "list"
+
+
 def test_statistics():
     s = dict(zip([c.split()[0] for c in quality.STATISTICS_SCHEMA.split(", ")][1:], quality.statistics("one two one two one two\none two one two one two\n\nend.", frozenset({"one"}))))
     assert s["n_words"] == 13
@@ -86,33 +95,68 @@ def test_statistics_ignore_other_columns(spark):
     assert quality.text_statistics(df, "id", "content", COMMON).first().n_words == 2
 
 
+def site_pages(hosts=1, per_host=60, menu="Zorgle  Frobnicator  Quux"):
+    """Pages of made-up sites whose furniture no wording list knows."""
+    rows = []
+    for h in range(hosts):
+        for i in range(per_host):
+            body = [f"Body sentence number {'x' * (i * 7 % 90)} of page {chr(97 + i % 26) * 3} on site {h} tells of it at length.", *[f"More of text {'y' * (i + 1)} {chr(97 + j)}, quite unlike, on site {h}." for j in range(i % 9)]]
+            related = ["Blorp these next", f"Das Haus {chr(65 + i % 26)}{chr(97 + i // 26)}{chr(97 + h)} am See", f"Ein Garten {chr(65 + i % 26)}{chr(97 + i // 26)}{chr(97 + h)} im Wind"] if i % 2 else []
+            rows.append((f"https://h{h}.example/{i}", None, "\n".join([menu, *body, *related, "", f"Vreemd {2000 + i % 20} zonder woorden"])))
+    return rows
+
+
+def described(df):
+    return df.select(F.lit("t").alias("tbl"), F.monotonically_increasing_id().alias("row_id"), "url", "title", "text")
+
+
 def test_template_finds_unknown_furniture(spark):
-    """A made-up line that no wording list knows is found by its occurrence."""
-    pages = [(f"https://h.example/{i}", "\n".join(["Zorgle the frobnicator", f"Body sentence number {'x' * (i * 7 % 90)} stands here and tells about item {i} at length.", *[f"More of text {i} {j}, quite unlike." for j in range(i % 9)], f"© {2000 + i % 20} Site. All rights reserved."])) for i in range(60)]
-    pages += [(f"https://k.example/{i}", f"Only text {i}.") for i in range(10)]
-    df = spark.createDataFrame(pages, "url string, text string")
+    """Furniture that no wording list knows is found by its occurrence, the
+    titles of a slot it opens included, with and without the lists."""
+    pages = site_pages() + [(f"https://k.example/{i}", None, f"Only text {'z' * i}.") for i in range(10)]
+    df = spark.createDataFrame(pages, "url string, title string, text string")
     templates = boilerplate.deduce_templates(df)
-    assert templates.where("not known").count() >= 1
-    docs = df.select(F.lit("t").alias("tbl"), F.monotonically_increasing_id().alias("row_id"), "url", F.lit(None).cast("string").alias("title"), "text")
-    found = boilerplate.label_lines(docs, templates)
-    assert found.where("line_no = 1").count() == 60
-    assert {r.host for r in templates.collect()} == {"h.example"}
+    assert {r.host for r in templates.collect()} == {"h0.example"}
+    docs = described(df)
+    for wording in (True, False):
+        found = boilerplate.label_lines(docs, templates, wording)
+        assert found.where("line_no = 1 and origin = 'template'").count() == 60
+        assert found.where("origin = 'slot'").count() == 60
+        assert found.where("origin = 'template'").count() == 60 + 30 + 60
+        assert found.count() == 210
     bodies = [r.body for r in boilerplate.main_body(docs, templates).collect()]
-    assert not any("Zorgle" in b for b in bodies)
+    assert not any("Zorgle" in b or "Vreemd" in b or "am See" in b for b in bodies)
     assert all(b for b in bodies)
 
 
+def test_shared_template_serves_small_hosts(spark):
+    """A line of several hosts' templates is furniture on a host of one page."""
+    df = spark.createDataFrame(site_pages(hosts=4, per_host=20) + [("https://one.example/", None, "Zorgle\nA sentence of its own stands on this page.")], "url string, title string, text string")
+    found = boilerplate.label_lines(described(df).where("url = 'https://one.example/'"), boilerplate.deduce_templates(df), wording=False)
+    assert [r.line_no for r in found.collect()] == [1]
+
+
 def test_copies_of_a_page_are_no_template(spark):
     text = "A first sentence of the copied page stands here.\nA second one follows.\nThe third.\nTags: a, b"
-    df = spark.createDataFrame([(f"https://h.example/{i}", text) for i in range(40)], "url string, text string")
-    docs = df.select(F.lit("t").alias("tbl"), F.lit(1).cast("long").alias("row_id"), "url", F.lit(None).cast("string").alias("title"), "text")
+    df = spark.createDataFrame([(f"https://h.example/{i}", None, text) for i in range(40)], "url string, title string, text string")
+    docs = df.select(F.lit("t").alias("tbl"), F.lit(1).cast("long").alias("row_id"), "url", "title", "text")
     assert {r.line_no for r in boilerplate.label_lines(docs, boilerplate.deduce_templates(df)).collect()} == {4}
 
 
-def test_token_hash_equals_sql(spark):
-    lines = ["Page 12 of 30", "Übung ß", "x"]
-    df = spark.createDataFrame([(x,) for x in lines], "l string").select("l", F.xxhash64(F.lower(F.regexp_replace("l", r"\d+", "0"))).alias("h"))
-    assert {r.l: r.h for r in df.collect()} == {x: boilerplate.token_hash(x) for x in lines}
+def test_template_edge_cases(spark):
+    df = spark.createDataFrame([(None, None, "A"), ("no address", "T", "A"), ("https://h.example/", "T", None), ("https://h.example/", "T", ""), ("https://h.example/", "T", "\n\n"), ("https://h.example/l", "T", "x" * 300_000)], "url string, title string, text string")
+    templates = boilerplate.deduce_templates(df)
+    assert templates.count() == 0
+    assert boilerplate.label_lines(described(df), templates).count() == 0
+    assert boilerplate.deduce_templates(df.limit(0)).count() == 0
+    joined = boilerplate.label_lines(described(df), templates)
+    assert joined.columns == ["tbl", "row_id", "line_no", "origin"]
+
+
+def test_line_tokens():
+    assert boilerplate.line_tokens("* Home | News 12") == boilerplate.line_tokens("home  news 7") and len(boilerplate.line_tokens("Home > News")) == 2
+    assert boilerplate.line_tokens("Tea  12  -") == []
+    assert boilerplate.line_tokens("") == []
 
 
 @needs_data
@@ -224,3 +268,26 @@ def test_entry_keys_equal_sql(spark):
     keys = spam.entry_keys(f"- {text} - {url}")[0][0]
     row = spark.createDataFrame([(text, url)], "t string, u string").select(F.xxhash64("t").alias("t"), F.xxhash64(F.lit("e.example/x")).alias("u")).first()
     assert set(keys) == {row.t, row.u}
+
+
+def test_host_evidence_finds_unknown_residue(spark):
+    """Titles and short responses that no list knows, on several hosts; pages that
+    have a text of their own besides are none."""
+    rows = []
+    for i in range(12):
+        url = f"https://h{i % 4}.example/a/{i}"
+        rows.append(("indexed_pages", i, url, "Blorpmodus", f"The mill of town {i} is old and it stands by the river."))
+        rows.append(("indexed_pages", 100 + i, url + "/m", "The windmill", f"A windmill of town {i} is old and it stands by the river."))
+        rows.append(("page_versions", i, url, f"The mill {'x' * i}", f"Snarfle gebloop krunk {i} zork binnen {i} minuten."))
+        rows.append(("page_versions", 100 + i, url, f"The mill {'x' * i}", f"Snarfle gebloop krunk {i} zork binnen {i} minuten.\nThe mill of town is old and it stands by the river."))
+    rows += [("indexed_pages", 500, None, None, None), ("page_versions", 500, None, None, None), ("page_versions", 501, None, None, ""), ("page_versions", 502, "u", "T", "Text with {{ title }} in it.")]
+    df = spark.createDataFrame(rows, "tbl string, row_id long, url string, title string, text string")
+    want = {("indexed_pages", i) for i in range(12)} | {("page_versions", i) for i in range(12)} | {("page_versions", 502)}
+    for lists in (True, False):
+        assert {(r.tbl, r.row_id) for r in residue.residue(df, COMMON, lists).collect()} == want
+    assert residue.residue(df.limit(0), COMMON).count() == 0
+
+
+def test_long_notice():
+    assert residue.notice("Error 503: the service is down. " + "It will be back after some work on it. " * 8)
+    assert not residue.notice("The error of 503 was a mistake in the year. " + "It was told at length. " * 20)
