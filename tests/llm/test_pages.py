@@ -211,6 +211,36 @@ def test_residue_by_host_evidence(spark):
     assert sorted(r.row_id for r in residue.residue(df).collect()) == [*range(12), 103]
 
 
+def test_source_model():
+    """Rates of slug, title and category come from pages; rows without any, and no
+    pages at all, have a model, too."""
+    pages = [(np.array([5.0, 0.0]), 10, [0], [0], ["a"]), (np.array([0.0, 5.0]), 10, [1], [], ["b"])] * 20 + [(np.zeros(2), 10, [], [], [])]
+    source = subjects.fit_source(pages, 2)
+    assert source.own[0] > 0.9 > source.own[1] > 0.4 and source.other[0] < 0.1
+    says = subjects.category_says(source, ["a", "unheard"], 2)
+    assert says[0] > 0 > says[1]
+    assert (subjects.category_says(source, [], 2) == 0).all() and (subjects.category_says(None, ["a"], 2) == 0).all()
+    assert subjects.fit_source([], 2).categories == []
+
+
+@needs_data
+def test_subject_chain_uses_cooccurrence_and_source():
+    """Where terms are missing, the source moves what the chain decides."""
+    import pandas as pd
+
+    rows = [tuple(r) for r in pd.read_parquet(f"{DATA}/subject_samples.parquet")[["lang", "subject", "text"]].itertuples(index=False)]
+    names = sorted({r[1] for r in rows})
+    n = len(names)
+    source = subjects.fit_source([(np.eye(n)[i] * 8, 10, [i], [i], [names[i]]) for i in range(n)] * 20, n)
+    chain = subjects.train_chain(rows, names, COMMON, composed=1500, source=source)
+    hits = np.zeros(n)
+    hits[2] = 2  # a fifth of the sentences only
+    bare = subjects.feature_row(hits, 10, 2, set(), set(), n)
+    helped = subjects.feature_row(hits, 10, 2, {2}, {2}, n, subjects.category_says(source, [names[2]], n))
+    _, chances = subjects.decode(chain, np.array([bare, helped]))
+    assert chances[1, 2] > chances[0, 2]
+
+
 @needs_data
 def test_subject_chain_held_out(spark):
     names = sorted(r.subject for r in spark.read.parquet(f"{DATA}/subject_areas.parquet").collect())
