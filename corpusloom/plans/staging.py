@@ -71,3 +71,15 @@ def staged_bytes(df: DataFrame) -> int:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         total += path.getFileSystem(configuration).getFileStatus(path).getLen()
     return total
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing reads any more: the
+    states a loop has left behind."""
+    spark = df.sparkSession
+    own = _own_folder(spark).rstrip("/")
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in {os.path.dirname(name) for name in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        if os.path.basename(own) in folder:
+            path.getFileSystem(configuration).delete(path, True)
