@@ -8,16 +8,22 @@
    below the current step.  Here all elements of many texts take each step
    together in numpy; texts whose slots are full drop out.
 2. Texts with equal word sequences form a group; only its first one goes on.
-3. `banded_pairs` hashes bands of the signature, keeps buckets of two and more
-   with one shuffle of (bucket, id), and joins those buckets with themselves.
-4. `verified_pairs` drops pairs whose sketches (one byte of each of 64 slots)
-   agree too little, then computes the exact similarity from the texts of the
-   documents still in question.
-5. `group_classes` joins verified pairs to classes by distributed union-find:
+3. `shared_buckets` hashes bands of the signature, counts buckets with map-side
+   combining and keeps those of two and more.
+4. Candidates: for all pairs, `bucket_pairs` joins each bucket with itself, a hot
+   one in salted parts.  For classes that would be quadratic in the copies of a
+   text: `class_pairs` first takes only pairs with the smallest id of a bucket,
+   and after their classes are known only the pairs of a bucket that lie in
+   different classes.  Pairs within a class need no check, so no link between
+   classes is lost.
+5. `verified_pairs` drops pairs whose sketches (one byte of each of 64 slots)
+   agree six deviations less than the similarity asks for, then computes the
+   exact similarity from the texts of the documents still in question.
+6. `group_classes` joins verified pairs to classes by distributed union-find:
    min-label hooking with pointer jumping, each round staged.
 
-No step gathers a bucket, a group or a component in one task: buckets are joined
-row by row (adaptive execution splits a hot one), groups of equal texts are
+No step gathers a bucket, a group or a component in one task: buckets are
+counted by aggregates and joined row by row, groups of equal texts are
 represented by their smallest id, and classes are label columns.
 """
 
@@ -28,17 +34,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import staged
+from ..plans.staging import staged, staged_bytes, unstage
 from .tables import slices, table
 
 ROWS, BANDS = 4, 50  # signature slots a band, bands: finds a pair of similarity 0.5 with 0.96, 0.6 with 0.999
 SLOTS = ROWS * BANDS
 SKETCH = 64  # slots of which one byte is kept
-SKETCH_LEAST = 0.28  # agreeing share of sketch bytes below which a pair is not verified: 3.5 deviations under 0.5, loses 1e-4 of the pairs of just 0.5
-BROADCAST_IDS = 2_000_000  # ids up to which the documents to verify are selected by broadcast
+DEVIATIONS = 6  # binomial deviations by which the agreeing share of sketch bytes may be below the similarity asked for: loses 1e-9 of the pairs
+BROADCAST_BYTES = 8 << 20  # written size up to which the ids of the documents to verify are broadcast
+SALTED = 2000  # rows of a bucket's part in a join with itself
 CHUNK_CHARS = 1_000_000  # characters hashed at once
 
 _ALNUM: np.ndarray | None = None
@@ -178,26 +185,37 @@ def signatures(documents: DataFrame, words: int, least: int) -> DataFrame:
     return documents.select("tbl", F.col("row_id").cast("long"), "text").mapInArrow(compute, SIGNATURE_SCHEMA)
 
 
-def banded_pairs(firsts: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (tbl, id_a, id_b) of `firsts` (tbl, row_id,
-    bands): pairs that share a bucket."""
+def shared_buckets(firsts: DataFrame) -> DataFrame:
+    """(bucket, tbl, row_id, held, lead) of `firsts` (tbl, row_id, bands): the
+    buckets of two and more rows, with their number of rows and smallest id."""
     bucket = F.xxhash64("tbl", "band", "value")
     exploded = firsts.select("tbl", "row_id", F.posexplode("bands").alias("band", "value")).select(bucket.alias("bucket"), "tbl", "row_id")
-    shared = staged(
-        exploded.withColumn("held", F.count("*").over(Window.partitionBy("bucket"))).where("held > 1").select("bucket", "tbl", "row_id"), "buckets"
-    )
-    a = shared.select("bucket", "tbl", F.col("row_id").alias("id_a"))
-    b = shared.select("bucket", "tbl", F.col("row_id").alias("id_b"))
-    return a.join(b, ["bucket", "tbl"]).where("id_a < id_b").select("tbl", "id_a", "id_b").distinct()
+    counted = exploded.groupBy("bucket").agg(F.count("*").alias("held"), F.min("row_id").alias("lead")).where("held > 1")
+    return staged(exploded.join(counted, "bucket"), "buckets")
+
 
+def bucket_pairs(shared: DataFrame) -> DataFrame:
+    """Distinct pairs (tbl, id_a, id_b) of rows that share a bucket.  A bucket of
+    more than `SALTED` rows is joined in parts: each row of one side is in one
+    part, the other side in all."""
+    parts = F.ceil(F.col("held") / SALTED).cast("int")
+    a = shared.select("bucket", "tbl", F.col("row_id").alias("id_a"), F.pmod(F.xxhash64("row_id"), parts).cast("int").alias("part"))
+    b = shared.select("bucket", "tbl", F.col("row_id").alias("id_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return a.join(b, ["bucket", "tbl", "part"]).where("id_a < id_b").select("tbl", "id_a", "id_b").distinct()
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
-        b = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
-        yield batch.select([0, 1, 2]).filter(pa.array((a == b).mean(axis=1) >= SKETCH_LEAST))
+
+def _agreeing(least: float):
+    floor = least - DEVIATIONS * (least * (1 - least) / SKETCH) ** 0.5
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+            b = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.uint8).reshape(-1, SKETCH)
+            yield batch.select([0, 1, 2]).filter(pa.array((a == b).mean(axis=1) >= floor))
+
+    return keep
 
 
 def _text_sets(documents: DataFrame, words: int) -> DataFrame:
@@ -239,10 +257,10 @@ def verified_pairs(candidates: DataFrame, sketches: DataFrame, documents: DataFr
     b = sketches.select("tbl", F.col("row_id").alias("id_b"), F.col("sketch").alias("sketch_b"))
     likely = staged(
         candidates.join(a, ["tbl", "id_a"]).join(b, ["tbl", "id_b"]).select("tbl", "id_a", "id_b", "sketch_a", "sketch_b")
-        .mapInArrow(_agreeing, "tbl string, id_a long, id_b long"), "likely-pairs"
+        .mapInArrow(_agreeing(least), "tbl string, id_a long, id_b long"), "likely-pairs"
     )
-    ids = likely.select("tbl", F.col("id_a").alias("row_id")).union(likely.select("tbl", F.col("id_b").alias("row_id"))).distinct()
-    if likely.count() * 2 <= BROADCAST_IDS:  # bounds the distinct ids
+    ids = staged(likely.select("tbl", F.col("id_a").alias("row_id")).union(likely.select("tbl", F.col("id_b").alias("row_id"))).distinct(), "ids")
+    if staged_bytes(ids) <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
     sets = staged(_text_sets(documents.select("tbl", "row_id", "text").join(ids, ["tbl", "row_id"], "left_semi"), words), "shingles")
     return (
@@ -253,23 +271,62 @@ def verified_pairs(candidates: DataFrame, sketches: DataFrame, documents: DataFr
     )
 
 
+def equal_texts(documents: DataFrame, words: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """Members (tbl, row_id, first) - each text with at least `least` shingles
+    and the smallest id among the texts with the same words - and the signatures
+    of these first texts."""
+    signed = staged(signatures(documents, words, least), "signatures")
+    firsts_of = signed.groupBy("tbl", "text_key").agg(F.min("row_id").alias("first"))
+    members = staged(signed.select("tbl", "text_key", "row_id").distinct().join(firsts_of, ["tbl", "text_key"]).select("tbl", "row_id", "first"), "members")
+    firsts = members.where("row_id = first").select("tbl", "row_id")
+    return members, signed.dropDuplicates(["tbl", "row_id"]).join(firsts, ["tbl", "row_id"], "left_semi")
+
+
 def similar_texts(documents: DataFrame, words: int = 5, similarity: float = 0.8, least: int = 1) -> tuple[DataFrame, DataFrame]:
     """Near-duplicate structure of `documents` (tbl, row_id, text), within each
-    table: members (tbl, row_id, first) - each text with at least `least`
-    shingles and the smallest id among the texts with the same words - and
-    verified pairs (tbl, id_a, id_b, similarity) between such first texts.
+    table: members as of `equal_texts`, and all verified pairs (tbl, id_a, id_b,
+    similarity) between such first texts.
 
     Repeated rows with the same id count once.  Texts without enough shingles
     and nulls are in neither."""
-    signed = staged(signatures(documents, words, least), "signatures")
-    firsts_of = signed.groupBy("tbl", "text_key").agg(F.min("row_id").alias("first"))
-    members = staged(signed.select("tbl", "text_key", "row_id").distinct().join(firsts_of, ["tbl", "text_key"]).select("tbl", "row_id", "first"), "members")
-    firsts = members.where("row_id = first").select("tbl", "row_id")
-    chosen = signed.dropDuplicates(["tbl", "row_id"]).join(firsts, ["tbl", "row_id"], "left_semi")
-    candidates = banded_pairs(chosen.select("tbl", "row_id", "bands"))
+    members, chosen = equal_texts(documents, words, least)
+    candidates = bucket_pairs(shared_buckets(chosen.select("tbl", "row_id", "bands")))
     return members, verified_pairs(candidates, chosen.select("tbl", "row_id", "sketch"), documents, words, similarity)
 
 
+def linking_pairs(documents: DataFrame, words: int = 5, similarity: float = 0.8, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """As `similar_texts`, but with as many verified pairs as the classes need:
+    their number grows with the rows, not with the square of a group of copies."""
+    members, chosen = equal_texts(documents, words, least)
+    chosen = staged(chosen.select("tbl", "row_id", "bands", "sketch"), "chosen")
+    sketches = chosen.select("tbl", "row_id", "sketch")
+    shared = shared_buckets(chosen.select("tbl", "row_id", "bands"))
+    star = shared.where("row_id != lead").select("tbl", F.col("lead").alias("id_a"), F.col("row_id").alias("id_b")).distinct()
+    verified = staged(verified_pairs(star, sketches, documents, words, similarity), "star-pairs")
+    labels = class_labels(verified.select("tbl", "id_a", "id_b"))
+    placed = staged(
+        shared.select("bucket", "tbl", "row_id").join(labels, ["tbl", "row_id"], "left").select("bucket", "tbl", "row_id", F.coalesce("label", "row_id").alias("label")), "placed"
+    )
+    rest = verified_pairs(_across(placed), sketches, documents, words, similarity)
+    return members, staged(verified.unionByName(rest), "linking-pairs")
+
+
+def _across(placed: DataFrame) -> DataFrame:
+    """Distinct pairs of rows that share a bucket and lie in different classes, of
+    `placed` (bucket, tbl, row_id, label).  Classes of a bucket are paired first,
+    so that rows of one class never meet."""
+    several = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("bucket")
+    open_ = staged(placed.join(several, "bucket", "left_semi"), "open-buckets")
+    classes = open_.select("bucket", "label").distinct()
+    a = classes.select("bucket", F.col("label").alias("label_a"))
+    b = classes.select("bucket", F.col("label").alias("label_b"))
+    pairs = a.join(b, "bucket").where("label_a < label_b")
+    rows_a = open_.select("bucket", "tbl", F.col("row_id").alias("a"), F.col("label").alias("label_a"))
+    rows_b = open_.select("bucket", F.col("row_id").alias("b"), F.col("label").alias("label_b"))
+    met = pairs.join(rows_a, ["bucket", "label_a"]).join(rows_b, ["bucket", "label_b"])
+    return met.select("tbl", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+
+
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(tbl, id_a, id_b), id_a < id_b: verified pairs and equal texts spread over
     the members of their groups."""
@@ -282,10 +339,9 @@ def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return between.unionByName(equal)
 
 
-def group_classes(members: DataFrame, pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(tbl, row_id, class_id, links): the class of each member - the smallest id
-    that verified pairs lead to - and the number of verified pairs and equal
-    texts of its group's first text.
+def class_labels(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(tbl, row_id, label): the smallest id that `pairs` (tbl, id_a, id_b) lead
+    to, for each id in them.
 
     Union-find over label columns: in each round every node takes the smallest
     label among itself and its neighbours, and the label's own label (pointer
@@ -298,15 +354,25 @@ def group_classes(members: DataFrame, pairs: DataFrame, most_rounds: int = 60) -
         near = edges.join(labels.select("tbl", F.col("u").alias("v"), "label"), ["tbl", "v"]).groupBy("tbl", "u").agg(F.min("label").alias("near"))
         hooked = labels.join(near, ["tbl", "u"]).select("tbl", "u", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         target = labels.select("tbl", F.col("u").alias("label"), F.col("label").alias("jump"))
+        before = labels
         moved = staged(hooked.join(target, ["tbl", "label"], "left").select("tbl", "u", "old", F.coalesce(F.least("label", "jump"), "label").alias("label")), "labels")
         labels = moved.select("tbl", "u", "label")
+        unstage(before)
         if moved.where("old != label").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"classes did not settle in {most_rounds} rounds")
-    degree = edges.groupBy("tbl", "u").agg(F.count("*").alias("links"))
+            return labels.withColumnRenamed("u", "row_id")
+    raise RuntimeError(f"classes did not settle in {most_rounds} rounds")
+
+
+def group_classes(members: DataFrame, pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(tbl, row_id, class_id, links): the class of each member - the smallest id
+    that verified pairs lead to - and the number of the given pairs and of equal
+    texts of its group's first text."""
+    pairs = staged(pairs.select("tbl", "id_a", "id_b"), "pairs")
+    labels = class_labels(pairs, most_rounds)
+    ends = pairs.select("tbl", F.col("id_a").alias("row_id")).unionByName(pairs.select("tbl", F.col("id_b").alias("row_id")))
+    degree = ends.groupBy("tbl", "row_id").agg(F.count("*").alias("links"))
     copies = members.groupBy("tbl", "first").agg((F.count("*") - 1).alias("copies"))
-    known = labels.join(degree, ["tbl", "u"]).select("tbl", F.col("u").alias("first"), "label", "links")
+    known = labels.join(degree, ["tbl", "row_id"]).select("tbl", F.col("row_id").alias("first"), "label", "links")
     return (
         members.join(copies, ["tbl", "first"]).join(known, ["tbl", "first"], "left")
         .select("tbl", "row_id", F.coalesce("label", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies")).alias("links"))
@@ -314,16 +380,16 @@ def group_classes(members: DataFrame, pairs: DataFrame, most_rounds: int = 60) -
 
 
 def all_classes(documents: DataFrame, words: int = 5, similarity: float = 0.8, least: int = 1) -> DataFrame:
-    """(tbl, row_id, class_id, links) as of `group_classes`, with one row for
-    each id of `documents` (tbl, row_id, text).  Texts with fewer than `least`
+    """(tbl, row_id, class_id, links) as of `group_classes`, by the pairs of
+    `linking_pairs`, with one row for each id of `documents` (tbl, row_id, text).  Texts with fewer than `least`
     shingles are in a class with the texts equal to them, character by
     character; null texts are equal to the empty one.  Rows without id give
     none."""
-    members, pairs = similar_texts(documents, words, similarity, least)
+    members, pairs = linking_pairs(documents, words, similarity, least)
     texts = documents.where("row_id is not null").select("tbl", F.col("row_id").cast("long"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
     short = staged(texts.join(members.select("tbl", "row_id"), ["tbl", "row_id"], "left_anti").distinct(), "short-texts")
     equal = short.groupBy("tbl", "key").agg(F.min("row_id").alias("class_id"), (F.count("*") - 1).alias("links"))
-    return group_classes(members, staged(pairs, "pairs")).unionByName(short.join(equal, ["tbl", "key"]).select("tbl", "row_id", "class_id", "links"))
+    return group_classes(members, pairs).unionByName(short.join(equal, ["tbl", "key"]).select("tbl", "row_id", "class_id", "links"))
 
 
 #: Parameters that TESTDATA.md fixes for this problem.

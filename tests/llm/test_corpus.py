@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import encoding, mixing, neardup, packing, tokens
 
@@ -111,6 +112,31 @@ def test_classes(spark, family):
     assert classes == {i: root(i) for i in classes}
 
 
+def test_linking_pairs_give_the_same_classes(spark, family):
+    """The few pairs that are checked for classes lead to the classes of all pairs."""
+    df = spark.createDataFrame([("t", i, t) for i, t in family] + [("other", i, t) for i, t in family[:5]], DOCS)
+    every = {(r.tbl, r.row_id): r.class_id for r in neardup.group_classes(*neardup.similar_texts(df, 3, 0.5, 60)).collect()}
+    few = {(r.tbl, r.row_id): r.class_id for r in neardup.group_classes(*neardup.linking_pairs(df, 3, 0.5, 60)).collect()}
+    assert few == every
+
+
+def test_many_near_copies_stay_linear(spark):
+    """A group of near copies, all different: the pairs checked for its class
+    grow with its rows."""
+    n = 3000
+    base = " ".join(f"w{i}" for i in range(300))
+    df = spark.range(n).select(F.lit("t").alias("tbl"), F.col("id").alias("row_id"), F.concat(F.lit(base + " tail"), F.col("id").cast("string")).alias("text"))
+    members, pairs = neardup.linking_pairs(df, 5, 0.8)
+    assert pairs.count() < 4 * n
+    assert neardup.group_classes(members, pairs).where("class_id = 0").count() == n
+
+
+def test_salted_bucket_gives_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SALTED", 7)
+    rows = spark.range(40).select(F.lit(1).cast("long").alias("bucket"), F.lit("t").alias("tbl"), F.col("id").alias("row_id"), F.lit(40).cast("long").alias("held"))
+    assert neardup.bucket_pairs(rows).count() == 40 * 39 // 2
+
+
 def test_long_chain_of_links(spark):
     members = spark.createDataFrame([("t", i, i) for i in range(1, 41)], "tbl string, row_id long, first long")
     pairs = spark.createDataFrame([("t", i, i + 1, 0.9) for i in range(1, 30)], "tbl string, id_a long, id_b long, similarity double")
