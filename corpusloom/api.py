@@ -6,6 +6,7 @@ Everything is kept in a `Warehouse`; methods that report return DataFrames.
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,17 +14,19 @@ from pyspark.sql import functions as F
 from . import schemas
 from .functions.text import content_hash, word_count
 from .functions.urls import default_scheme, get_domain, normalize_url
-from .operators import catalog, changes, classify, schedules, search
+from .operators import catalog, changes, classify, frontier, schedules, search
 from .plans import crawl as crawling
 from .plans.numbering import numbered
 from .plans.staging import staged
-from .sources import html, robots, storage
+from .sources import html, robots, sitemap, storage
 from .sources.warehouse import Warehouse
 
 TABLES = {
     "sessions": schemas.SESSION,
     "urls": schemas.URL_RECORD,
     "content": "session_id long, url string, crawled_at timestamp, title string, description string, text string, links_count int, depth int, html string",
+    "postings": search.INDEX,
+    "lengths": search.LENGTHS,
     "pages": "id long, url string, title string, content string, description string, domain string, session_id long, word_count long, crawled_at timestamp",
     "versions": "id long, url string, content_hash string, text_content string, title string, word_count long, captured_at timestamp",
     "changes": "id long, url string, old_version_id long, new_version_id long, change_type string, change_percent double, added_lines int, removed_lines int, diff_summary string, detected_at timestamp",
@@ -51,21 +54,43 @@ class Engine:
         return ranked.withColumn("id", F.col("_rank") + F.lit(self._next_id(table) - 1).cast("long")).drop("_all", "_rank")
 
     # --- crawling
-    def crawl(self, seed: str, pages: DataFrame, robots_files: DataFrame | None = None, max_pages: int = 100, max_depth: int = 10, save_html: bool = False, agent: str = "*", now=None) -> int:
+    def crawl(self, seed: str, pages: DataFrame, robots_files: DataFrame | None = None, max_pages: int = 100, max_depth: int = 10, save_html: bool = False, agent: str = "*", now=None,
+              sitemaps: DataFrame | None = None) -> int:
         """Crawls from a seed over the closed set `pages` (url, html) and returns
         the session's number.  The session is `completed` when nothing is left to
-        fetch, else `interrupted`, with the rest pending."""
+        fetch, else `interrupted`, with the rest pending.
+
+        `sitemaps` (sitemap_url, content) are the sitemaps that can be fetched.
+        Those of the seed's host - declared in its robots file, or in a well-known
+        place - are expanded, and their first addresses are crawled from besides
+        the seed, at depth 1 and before links."""
         now = F.current_timestamp() if now is None else now
         start = self.spark.createDataFrame([(seed,)], "url string").select(default_scheme("url").alias("url"))
         session = self._next_id("sessions")
         self.store.replace("sessions", catalog.start_session(self.store.read("sessions"), session, start.first().url, now))
+        if sitemaps is not None:
+            start = self._with_sitemaps(start, robots_files, sitemaps)
         self._run(session, start, pages, robots_files, max_pages, max_depth, save_html, agent, now)
         return session
 
+    def _with_sitemaps(self, start: DataFrame, robots_files: DataFrame | None, files: DataFrame) -> DataFrame:
+        """Seeds of a crawl with those of the host's sitemaps."""
+        hosts = start.select(get_domain("url").alias("domain"))
+        if robots_files is None:
+            declared = self.spark.createDataFrame([], "domain string, sitemap string")
+        else:
+            declared = robots.sitemaps(robots_files).select("domain", "sitemap")
+        named = sitemap.discover(hosts, declared, files)
+        found = sitemap.seeds(sitemap.expand_sitemaps(files, named.select("sitemap_url")))
+        own = start.select("url", F.lit(frontier.HIGHEST).alias("priority"), F.lit(0).alias("depth"))
+        more = found.join(hosts, get_domain("url") == F.col("domain"), "left_semi").select("url", F.lit(frontier.HIGH).alias("priority"), "depth")
+        return staged(own.unionByName(more), "seeds")
+
     def resume(self, session_id: int, pages: DataFrame, robots_files: DataFrame | None = None, max_pages: int = 100, max_depth: int = 10, save_html: bool = False, agent: str = "*", now=None) -> bool:
-        """Goes on with a session that has pending records; False if it has none."""
+        """Goes on with a session that has pending records, each at the depth it
+        was found at; False if it has none."""
         now = F.current_timestamp() if now is None else now
-        pending = staged(self.store.read("urls").where((F.col("session_id") == session_id) & (F.col("status") == "pending")).select("url"), "resume")
+        pending = staged(self.store.read("urls").where((F.col("session_id") == session_id) & (F.col("status") == "pending")).select("url", "depth", "parent_url"), "resume")
         if pending.isEmpty():
             return False
         self.store.replace("urls", catalog.delete_where(self.store.read("urls"), (F.col("session_id") == session_id) & (F.col("status") == "pending")))
@@ -79,7 +104,7 @@ class Engine:
         follow = follow.withColumn("dst", normalize_url("dst")).join(known.select(F.col("url").alias("dst")), "dst", "left_anti")
         allowed = None
         if robots_files is not None:
-            everything = follow.select(F.col("dst").alias("url")).unionByName(seeds).distinct()
+            everything = follow.select(F.col("dst").alias("url")).unionByName(seeds.select("url")).distinct()
             allowed = robots.can_fetch(everything, robots_files, agent).select("url", "allowed")
         result = crawling.crawl(seeds, follow, parsed.select("url"), allowed, max_pages, max_depth)
         found = result.urls.unionByName(result.pending.withColumn("outcome", F.lit("pending")))
@@ -109,10 +134,11 @@ class Engine:
         return storage.preview(self.store.read("content").where(F.col("session_id") == session_id), limit)
 
     def export(self, path: str, kind: str = "json", session_id: int | None = None) -> None:
-        """Content of a session, by default the latest, as JSON lines or CSV."""
+        """Content of a session, by default the latest: `json` as JSON lines,
+        written in parallel, `array` as one JSON array, `csv` as CSV."""
         content = self.store.read("content")
         content = storage.latest_session(content) if session_id is None else content.where(F.col("session_id") == session_id)
-        (storage.export_csv if kind == "csv" else storage.export_json)(content.drop("session_id"), path)
+        {"csv": storage.export_csv, "array": storage.export_json_array}.get(kind, storage.export_json)(content.drop("session_id"), path)
 
     # --- search
     def index_session(self, session_id: int) -> int:
@@ -130,15 +156,33 @@ class Engine:
         ids = merged.join(old.select("url", "id"), "url", "left")
         fresh = self._numbered("pages", ids.where("id is null").drop("id"), ["url"])
         self.store.replace("pages", ids.where("id is not null").unionByName(fresh))
+        self._rebuild()
         return rows.count()
 
+    def _rebuild(self) -> None:
+        """Writes the index of the search store anew; searches read only it and the
+        rows they show."""
+        pages = self.store.read("pages")
+        self.store.replace("postings", search.postings(pages).withColumn("lead", search.lead_of(F.col("term"))), partition_by="lead")
+        self.store.replace("lengths", search.doc_lengths(pages))
+
     def delete_session(self, session_id: int) -> None:
         self.store.replace("pages", search.delete_session(self.store.read("pages"), session_id))
+        self._rebuild()
 
     def search(self, text: str, page: int = 1, per_page: int = 20, session_id: int | None = None, domain: str | None = None) -> tuple[DataFrame, DataFrame]:
         """(page of results, total)."""
         pages = self.store.read("pages")
-        return search.search(pages, search.postings(pages), search.doc_lengths(pages), text, page, per_page, session_id, domain)
+        return search.search(pages, self.store.read("postings"), self.store.read("lengths"), text, page, per_page, session_id, domain)
+
+    def search_page(self, text: str, page: int = 1, per_page: int = 20, session_id: int | None = None, domain: str | None = None) -> dict:
+        """One page of results as a response: rows, total, page, pages and the
+        milliseconds it took.  At most `MOST_PER_PAGE` rows reach the driver."""
+        began = time.perf_counter()
+        found, total = self.search(text, page, per_page, session_id, domain)
+        rows, count = [r.asDict() for r in found.collect()], total.first().total
+        per_page = max(1, min(per_page, search.MOST_PER_PAGE))
+        return {"query": text, "results": rows, "total": count, "page": max(page, 1), "pages": -(-count // per_page), "search_time_ms": (time.perf_counter() - began) * 1000}
 
     def search_stats(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(totals, top hosts, latest sessions)."""

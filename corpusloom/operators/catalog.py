@@ -53,10 +53,15 @@ def history(sessions: DataFrame, limit: int = 20) -> DataFrame:
     return sessions.orderBy(F.desc("id")).limit(limit)
 
 
+def _whole_row(df: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def latest_per(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key in the given order."""
-    row = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return df.withColumn("_row", row).where("_row = 1").drop("_row")
+    """The last row of each key in the given order; rows whose order is null come
+    last.  An aggregate, combined before the shuffle: a hot key is one row there."""
+    best = F.max_by(_whole_row(df), F.struct(F.col(order).isNotNull(), F.col(order)))
+    return df.groupBy(F.col(key).alias("_key")).agg(best.alias("_best")).select("_best.*")
 
 
 def last_rows(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
@@ -74,11 +79,10 @@ def upsert_latest(existing: DataFrame, rows: DataFrame, key: str, order: str, ke
     """`existing` with `rows` put in by key: the latest row wins, but the columns
     `keep_first` stay as first written."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(rows.withColumn("_new", F.lit(1)))
-    newest = Window.partitionBy(key).orderBy(F.desc("_new"), F.desc(order))
-    oldest = Window.partitionBy(key).orderBy("_new", order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    for column in keep_first:
-        both = both.withColumn(column, F.first(column).over(oldest))
-    return both.withColumn("_row", F.row_number().over(newest)).where("_row = 1").drop("_row", "_new")
+    place = F.struct("_new", F.col(order).isNotNull(), F.col(order))
+    row = F.struct(*[F.col(f"`{c}`") for c in existing.columns])
+    best = both.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, place).alias("_best"), F.min_by(row, place).alias("_first"))
+    return best.select(*[F.col(f"{'_first' if c in keep_first else '_best'}.`{c}`").alias(c) for c in existing.columns])
 
 
 def delete_where(df: DataFrame, condition: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import get_domain, normalize_url
@@ -15,10 +15,13 @@ HIGHEST, HIGH, NORMAL, LOW = 0, 1, 2, 3
 def admit(candidates: DataFrame, seen: DataFrame) -> DataFrame:
     """Candidates (url, priority, depth, parent_url) to add: addresses
     normalised, unusable ones dropped, each once - the most urgent, shallowest
-    first - and none that is in `seen` (url)."""
+    first - and none that is in `seen` (url).  The best candidate of an address is
+    an aggregate: pages with millions of links to them are combined before the
+    shuffle."""
     urls = candidates.withColumn("url", normalize_url("url")).where("url is not null")
-    first = F.row_number().over(Window.partitionBy("url").orderBy("priority", "depth", "parent_url"))
-    return urls.withColumn("_row", first).where("_row = 1").drop("_row").join(seen.select("url"), "url", "left_anti")
+    order = F.struct("priority", "depth", F.coalesce("parent_url", F.lit("")))
+    first = urls.groupBy("url").agg(F.min_by(F.struct("priority", "depth", "parent_url"), order).alias("_first"))
+    return first.select("url", "_first.*").join(seen.select("url"), "url", "left_anti")
 
 
 def next_batch(frontier: DataFrame, n: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HORIZON_DAYS = 366  # days ahead that cron expressions are searched
+HORIZON_DAYS = 8 * 366 + 366  # days ahead that are searched: 29 February can be eight years away, and further on a given weekday
 
 # fixed values: bounds of the five cron fields and names of months and days
 _FIELDS = [("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 6)]

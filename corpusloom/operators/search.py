@@ -70,6 +70,28 @@ def doc_lengths(store: DataFrame, columns: tuple[str, ...] = COLUMNS, doc_id: st
     return store.select(F.col(doc_id).alias("doc_id"), length.cast("long").alias("len"))
 
 
+INDEX = "doc_id long, col int, pos int, term string, lead int"
+LENGTHS = "doc_id long, len long"
+LEADS = 64  # partitions of a stored index
+
+
+def lead_of(term: Column) -> Column:
+    """Partition of a term: by its first two letters, so that a term, and every
+    prefix of two letters and more, is in one partition."""
+    return F.pmod(F.xxhash64(F.substring(term, 1, 2)), F.lit(LEADS)).cast("int")
+
+
+def stored_index(store: DataFrame, path: str, columns: tuple[str, ...] = COLUMNS, stem: bool = True, doc_id: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Writes the index of a store below a path, partitioned by `lead_of`, and
+    returns (postings, lengths) that read it: queries then scan the partitions of
+    their terms only, and texts are never tokenised again."""
+    spark = store.sparkSession
+    index = postings(store, columns, stem, doc_id)
+    index.withColumn("lead", lead_of(F.col("term"))).repartition("lead", F.pmod("doc_id", F.lit(8))).write.partitionBy("lead").parquet(path + "/postings")
+    doc_lengths(store, columns, doc_id).write.parquet(path + "/lengths")
+    return spark.read.schema(INDEX).parquet(path + "/postings"), spark.read.schema(LENGTHS).parquet(path + "/lengths")
+
+
 # --- queries
 @dataclass(frozen=True)
 class Leaf:
@@ -178,6 +200,10 @@ def leaf_frequencies(index: DataFrame, query: Query) -> DataFrame:
         for i in range(len(leaf.terms)):
             wanted |= matches(leaf, i)
     near = index.where(wanted)
+    if "lead" in index.columns and all(len(t) > 1 for leaf in query.leaves for t in leaf.terms):
+        # a term of one letter as prefix is in many partitions, all others in one each
+        leads = index.sparkSession.range(1).select(*[lead_of(F.lit(t)).alias(f"l{i}") for i, t in enumerate(sorted({t for leaf in query.leaves for t in leaf.terms}))]).first()
+        near = near.where(F.col("lead").isin(sorted(set(leads))))
     phrases = [k for k, leaf in enumerate(query.leaves) if len(leaf.terms) > 1]
     if phrases:
         near = staged(near, "near")  # read once for each word of a phrase, and no more than the places of the query's terms

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures
@@ -81,14 +81,71 @@ def url_display(spark, d):
     return load(spark, d, "urls").select("id", U.display_url("url").alias("shown"), U.robots_path("url").alias("robots_path"))
 
 
-@query("SELECT src, dst, CASE WHEN starts_with(dst, 'http') THEN dst ELSE 'https://' || dst END AS with_scheme FROM (SELECT url AS src, unnest(links).url AS dst FROM parsed_pages)")
+_REL = "regexp_replace(dst, '^[a-z]+://[^/?#]*', '')"
+_BASE = "regexp_extract(src, '^([a-z]+://[^/?#]*)', 1)"
+
+
+@query(f"""
+    SELECT src, dst, dst AS absolute, regexp_extract(src, '^([a-z]+:)', 1) || regexp_replace(dst, '^[a-z]+:', '') AS without_scheme,
+           {_BASE} || CASE WHEN starts_with({_REL}, '/') THEN {_REL} ELSE '/' || {_REL} END AS rooted,
+           {_BASE} || regexp_replace('/' || regexp_replace(regexp_replace(src, '^[a-z]+://[^/?#]*/?', ''), '[?#].*$', ''), '[^/]*$', '') || 'next/page' AS beside,
+           CASE WHEN starts_with(dst, 'http') THEN dst ELSE 'https://' || dst END AS with_scheme
+    FROM (SELECT url AS src, unnest(links).url AS dst FROM parsed_pages)""")
 def url_resolve(spark, d):
-    """Links are stored absolute: resolving them again changes nothing."""
-    edges = load(spark, d, "parsed_pages").select(F.col("url").alias("src"), F.explode("links.url").alias("href"))
-    return edges.select("src", U.resolve_url("src", "href").alias("dst")).withColumn("with_scheme", U.default_scheme("dst"))
+    """Links resolved against their page: as stored, without scheme, from the
+    host's root, and a reference beside the page."""
+    edges = load(spark, d, "parsed_pages").select(F.col("url").alias("src"), F.explode("links.url").alias("dst"))
+    path = F.regexp_replace("dst", "^[a-z]+://[^/?#]*", "")
+    made = edges.withColumns({"_loose": F.regexp_replace("dst", "^[a-z]+:", ""), "_rooted": F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)), "_beside": F.lit("next/page")})
+    return made.select(
+        "src", "dst", U.resolve_url("src", "dst").alias("absolute"), U.resolve_url("src", "_loose").alias("without_scheme"), U.resolve_url("src", "_rooted").alias("rooted"),
+        U.resolve_url("src", "_beside").alias("beside"), U.default_scheme("dst").alias("with_scheme"),
+    )
 
 
 # --- pages and links --------------------------------------------------------
+def _escaped(c: Column) -> Column:
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(sign), F.lit(entity))
+    return c
+
+
+def rendered_pages(spark, d) -> DataFrame:
+    """(url, html): a page for each stored one, with its metadata, title, text as
+    paragraphs, and links, between a script and a footer that are no text."""
+    pages = load(spark, d, "indexed_pages").select("url", "title", "content")
+    parsed = load(spark, d, "parsed_pages").select("url", "metadata", "links")
+    joined = pages.join(parsed, "url")
+    text = lambda c: _escaped(F.coalesce(c, F.lit("")))
+    paragraphs = F.array_join(F.transform(F.split(text(F.col("content")), "\n", -1), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    anchors = F.array_join(F.transform("links", lambda x: F.concat(F.lit('<a href="'), text(x["url"]), F.when(x["nofollow"], F.lit('" rel="nofollow')).otherwise(F.lit("")), F.lit('">'), text(x["text"]), F.lit("</a>"))), "")
+    html_ = F.concat(
+        F.lit("<!doctype html><html><head><title>"), text(F.col("title")), F.lit('</title><meta name="description" content="'), text(F.col("metadata.description")), F.lit('"><meta name="robots" content="'),
+        text(F.col("metadata.robots")), F.lit('"><script>var p = "no <b>text</b>";</script></head><body>'), paragraphs, F.lit("<h2>Links</h2>"), anchors, F.lit("<footer>no text</footer></body></html>"),
+    )
+    return joined.select("url", html_.alias("html"))
+
+
+_LETTERS = "regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+@query(f"""
+    SELECT p.url, trim(coalesce(p.title, '')) AS title, coalesce(m.metadata.description, '') AS description, coalesce(m.metadata.robots, '') AS robots,
+           md5({_LETTERS.format(c="coalesce(p.title, '') || coalesce(p.content, '') || 'Links' || array_to_string([coalesce(x.text, '') for x in m.links], '')")}) AS text_hash,
+           len(m.links) AS n_links, len([x.url for x in m.links if x.nofollow]) AS n_nofollow, len([x.url for x in m.links if lower(regexp_extract(x.url, '^[a-zA-Z]+://([^/?#]*)', 1)) = lower(regexp_extract(p.url, '^[a-zA-Z]+://([^/?#]*)', 1))]) AS n_internal,
+           md5(array_to_string([x.url for x in m.links], ' ')) AS links_hash
+    FROM indexed_pages p JOIN parsed_pages m ON m.url = p.url""")
+def html_pages(spark, d):
+    """Pages parsed from HTML that the stored ones were rendered to: what was put
+    in comes out again.  Text is compared by its letters and digits."""
+    parsed = html.parse_pages(rendered_pages(spark, d))
+    return parsed.select(
+        "url", "metadata.title", "metadata.description", "metadata.robots", F.md5(F.regexp_replace("text_content", r"[^\p{L}\p{N}]", "")).alias("text_hash"),
+        F.size("links").cast("long").alias("n_links"), F.size(F.filter("links", lambda x: x["nofollow"])).cast("long").alias("n_nofollow"),
+        F.size(F.filter("links", lambda x: x["is_internal"])).cast("long").alias("n_internal"), F.md5(F.array_join(F.transform("links", lambda x: x["url"]), " ")).alias("links_hash"),
+    )
+
+
 @query()
 def html_parse_full(spark, d):
     parsed = html.parse_pages(fixtures.html_pages(spark))
@@ -358,10 +415,20 @@ def _phrase(a: str, b: str) -> str:
     return f"SELECT x.doc_id, count(*) AS tf FROM post x JOIN post y ON x.doc_id = y.doc_id AND x.col = y.col AND y.pos = x.pos + 1 WHERE x.term = '{a}' AND y.term = '{b}' GROUP BY 1"
 
 
-def _ranked(spark, d, text: str) -> DataFrame:
-    store = load(spark, d, "indexed_pages")
-    index = search.postings(store, stem=False)
-    return search.bm25(index, search.doc_lengths(store), search.parse_query(text, stem=False)).select("doc_id", F.round("score", 6).alias("score"))
+_indexes: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def _index(spark, d, stem: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Stored index over all pages, (postings, lengths): written once for each
+    application and data directory, then read by every search."""
+    key = (spark.sparkContext.applicationId, d, stem)
+    if key not in _indexes:
+        _indexes[key] = search.stored_index(load(spark, d, "indexed_pages"), fresh_path(spark, "index"), stem=stem)
+    return _indexes[key]
+
+
+def _ranked(spark, d, text: str, stem: bool = False) -> DataFrame:
+    return search.bm25(*_index(spark, d, stem), search.parse_query(text, stem=stem)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_POSTINGS} SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM post GROUP BY 1")
@@ -399,22 +466,40 @@ def search_prefix(spark, d):
 @query(_bm25_sql([_term("starts_with(term, 'telescop')")], "l0.doc_id IS NOT NULL", "ORDER BY score DESC, doc_id LIMIT 20 OFFSET 20"))
 def search_page2(spark, d):
     store = load(spark, d, "indexed_pages")
-    rows, _ = search.search(store, search.postings(store, stem=False), search.doc_lengths(store), "telescop", page=2, stem=False)
+    rows, _ = search.search(store, *_index(spark, d), "telescop", page=2, stem=False)
     return rows.select("doc_id", "score")
 
 
 @query(_bm25_sql([_term("starts_with(term, 'habit')")], "l0.doc_id IS NOT NULL AND p.domain ILIKE '%PRESS%'", "ORDER BY score DESC, lens.doc_id LIMIT 100", ", indexed_pages p").replace("WHERE l0", "WHERE p.id = lens.doc_id AND l0"))
 def search_domain_filter(spark, d):
     store = load(spark, d, "indexed_pages")
-    rows, _ = search.search(store, search.postings(store, stem=False), search.doc_lengths(store), "habit", per_page=100, domain="PRESS", stem=False)
+    rows, _ = search.search(store, *_index(spark, d), "habit", per_page=100, domain="PRESS", stem=False)
     return rows.select("doc_id", "score")
 
 
+# the forms that the Porter stemmer takes to one stem, for the terms of the query
+_STEM_TERM = "strip_accents(term)"
+_TELESCOP = f"regexp_full_match({_STEM_TERM}, 'telescop(e|es|ed|ing|s|ic|ics|ical|ically)?')"
+_MEASUR = f"regexp_full_match({_STEM_TERM}, 'measur(e|es|ed|ing|s|er|ers|able|ement|ements)?')"
+
+
+@query(_bm25_sql([_term(_TELESCOP), _term(_MEASUR)], "l0.doc_id IS NOT NULL OR l1.doc_id IS NOT NULL"))
+def search_porter(spark, d):
+    """Ranking over folded and stemmed terms."""
+    return _ranked(spark, d, "telescopes OR measuring", stem=True)
+
+
+@query(_bm25_sql([f"SELECT x.doc_id, count(*) AS tf FROM post x JOIN post y ON x.doc_id = y.doc_id AND x.col = y.col AND y.pos = x.pos + 1 WHERE {_TELESCOP.replace('(term)', '(x.term)')} AND {_MEASUR.replace('(term)', '(y.term)')} GROUP BY 1"], "l0.doc_id IS NOT NULL"))
+def search_porter_phrase(spark, d):
+    """A phrase over stemmed terms."""
+    return _ranked(spark, d, '"telescope measures"', stem=True)
+
+
 @query()
 def search_stemmed(spark, d):
     """Stemmed and accent-folded search with snippets, first page."""
     store = load(spark, d, "indexed_pages")
-    rows, _ = search.search(store, search.postings(store), search.doc_lengths(store), "telescopes measuring")
+    rows, _ = search.search(store, *_index(spark, d, stem=True), "telescopes measuring")
     return rows.drop("crawled_at")
 
 
@@ -459,10 +544,13 @@ def content_hash(spark, d):
     return load(spark, d, "page_versions").select("id", texts.content_hash(t).alias("hash"), texts.word_count(t).alias("words"))
 
 
-@query("SELECT url, content_hash, min(id) AS id FROM page_versions GROUP BY 1, 2")
+@query("""WITH kept AS (SELECT url, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id) AS r FROM page_versions) WHERE r = 1)
+          SELECT url, content_hash, min(id) AS id FROM page_versions v WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.url = v.url AND k.content_hash = v.content_hash) GROUP BY 1, 2""")
 def version_dedup(spark, d):
+    """All captures against a store that holds the first version of each page."""
     rows = load(spark, d, "page_versions").select("id", "url", "content_hash")
-    return changes.new_versions(rows.limit(0), rows)
+    kept = rows.groupBy("url").agg(F.min_by("content_hash", "id").alias("content_hash"))
+    return changes.new_versions(kept, rows)
 
 
 @query("SELECT url, max(id) AS id FROM page_versions GROUP BY 1")
@@ -587,6 +675,23 @@ def classify_distribution(spark, d):
 
 
 # --- schedules --------------------------------------------------------------
+_AFTER = "date_trunc('minute', started_at) + INTERVAL 1 MINUTE"
+_DAYS = "(SELECT date_trunc('day', started_at) + to_days(i::INT) AS d FROM range(0, {n}) AS r(i))"
+
+
+@query(f"""SELECT id,
+    (SELECT min(d + INTERVAL 150 MINUTE) FROM {_DAYS.format(n=3)} WHERE d + INTERVAL 150 MINUTE >= {_AFTER}) AS nightly,
+    (SELECT min(d + INTERVAL 9 HOUR) FROM {_DAYS.format(n=8)} WHERE isodow(d) <= 5 AND d + INTERVAL 9 HOUR >= {_AFTER}) AS workday,
+    (SELECT min(d + to_minutes(m::INT)) FROM {_DAYS.format(n=3)}, range(0, 1440, 20) AS q(m) WHERE d + to_minutes(m::INT) >= {_AFTER}) AS thrice_hourly,
+    (SELECT min(d) FROM {_DAYS.format(n=3200)} WHERE month(d) = 2 AND day(d) = 29 AND d >= {_AFTER}) AS leap_day
+    FROM crawl_sessions""")
+def cron_next(spark, d):
+    """Next run after the start of each session, by several crontab expressions."""
+    at = F.col("started_at")
+    named = {"nightly": "30 2 * * *", "workday": "0 9 * * mon-fri", "thrice_hourly": "*/20 * * * *", "leap_day": "0 0 29 2 *"}
+    return load(spark, d, "crawl_sessions").select("id", *[schedules.next_cron(text, at).alias(name) for name, text in named.items()])
+
+
 @query()
 def schedule_next_runs(spark, d):
     return schedules.next_runs(fixtures.schedules(spark), F.lit(fixtures.NOW).cast("timestamp"))
@@ -631,6 +736,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked full-text search over the pages: title, host and score of the best
     matches of a boolean query with a prefix."""
     store = load(spark, sf_dir, "indexed_pages")
-    rows, _ = search.search(store, search.postings(store), search.doc_lengths(store), "telescope OR vaccine OR season")
+    rows, _ = search.search(store, *_index(spark, d, stem=True), "telescope OR vaccine OR season")
     return rows
 

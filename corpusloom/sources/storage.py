@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,36 @@ def export_json(content: DataFrame, path: str) -> None:
     content.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def export_json_array(content: DataFrame, path: str) -> None:
+    """One JSON array in one text file `part-*`: the records, one a line, commas
+    between them.  The records are written by one task, in the order of the
+    partitions; for exports that other tools load whole.  `export_json` writes in
+    parallel."""
+    lines = content.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1)
+    if lines.isEmpty():
+        lines.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+
+    def enclose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(values: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(values, pa.string())], names=["value"])
+
+        yield rows(["["])
+        last = None  # a record is written when it is known whether another follows
+        for batch in batches:
+            out = []
+            for line in batch.column(0).to_pylist():
+                if last is not None:
+                    out.append(last + ",")
+                last = line
+            yield rows(out)
+        yield rows([*([] if last is None else [last]), "]"])
+
+    lines.mapInArrow(enclose, "value string").write.mode("overwrite").text(path)
+
+
 def preview(content: DataFrame, lines: int = 50) -> DataFrame:
-    """First records with the length of their html in its place."""
-    return content.withColumn("html_length", F.coalesce(F.length("html"), F.lit(0))).drop("html").limit(lines)
+    """First records, by time of crawl and address, with the length of their html
+    in its place."""
+    order = [c for c in ("crawled_at", "url") if c in content.columns]
+    return content.withColumn("html_length", F.coalesce(F.length("html"), F.lit(0))).drop("html").orderBy(*order).limit(lines)

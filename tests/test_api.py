@@ -1,3 +1,4 @@
+import json
 import os
 
 import pytest
@@ -95,3 +96,32 @@ def test_schedules(spark, pages, tmp_path):
     engine.delete_schedule(number)
     assert engine.list_schedules().count() == 1
     assert engine.schedule_runs(number).count() == 0
+
+
+def test_resume_keeps_depth(spark, tmp_path):
+    chain = spark.createDataFrame([(f"https://e.com/{i}", page(str(i), f"Text {i}", f"/{i + 1}")) for i in range(6)], "url string, html string")
+    engine = open_engine(spark, str(tmp_path / "w"))
+    session = engine.crawl("https://e.com/0", chain, max_pages=2, max_depth=3, now=NOW)
+    while engine.resume(session, chain, max_pages=1, max_depth=3, now=NOW):
+        pass
+    found = {r.url: r.depth for r in engine.store.read("urls").collect()}
+    assert found == {f"https://e.com/{i}": i for i in range(4)}  # as one crawl of this depth would
+
+
+def test_crawl_with_sitemaps(spark, pages, tmp_path):
+    lone = pages.unionByName(spark.createDataFrame([("https://e.com/lone", page("L", "Nothing links here"))], "url string, html string"))
+    robots = spark.createDataFrame([("e.com", "https://e.com/robots.txt", "User-agent: *\nDisallow: /b\nSitemap: /maps/one.xml")], "domain string, base_url string, content string")
+    maps = spark.createDataFrame([("https://e.com/maps/one.xml", "<urlset><url><loc>https://e.com/lone</loc></url><url><loc>https://other.org/x</loc></url></urlset>")], "sitemap_url string, content string")
+    engine = open_engine(spark, str(tmp_path / "w"))
+    session = engine.crawl("e.com", lone, robots, now=NOW, sitemaps=maps)
+    depths = {r.url: r.depth for r in engine.store.read("urls").where(f"session_id = {session}").collect()}
+    assert depths["https://e.com/lone"] == 1 and depths["https://e.com/"] == 0 and "https://other.org/x" not in depths
+    engine.index_session(session)
+    answer = engine.search_page("nothing")
+    assert [r["url"] for r in answer["results"]] == ["https://e.com/lone"] and answer["total"] == 1 and answer["search_time_ms"] > 0
+    assert engine.search_page('"')["total"] == 0
+    engine.export(str(tmp_path / "array"), "array")
+    text = "".join((tmp_path / "array" / f).read_text() for f in sorted(os.listdir(tmp_path / "array")) if f.startswith("part-"))
+    assert len(json.loads(text)) == 4
+    engine.export(str(tmp_path / "none"), "array", session_id=99)
+    assert json.loads("".join((tmp_path / "none" / f).read_text() for f in os.listdir(tmp_path / "none") if f.startswith("part-"))) == []

@@ -17,3 +17,17 @@ def test_versions(spark, tmp_path):
     assert store.read("t").count() == 4
     store.replace("t", store.read("t").limit(1))
     assert rows(store.read("t"), "id", "s.b") == [(1, "x")]
+
+
+def test_append_leaves_the_rest_alone(spark, tmp_path):
+    store = Warehouse(spark, f"file://{tmp_path}", {"t": "id long"})
+    store.append("t", spark.range(5))
+    before = {f: os.path.getmtime(tmp_path / "t" / "v1" / f) for f in os.listdir(tmp_path / "t" / "v1")}
+    seen = store.read("t")
+    store.append("t", seen.where("id < 2"))  # rows that come from the table itself
+    assert store.read("t").count() == 7 and seen.count() == 5
+    assert {f: os.path.getmtime(tmp_path / "t" / "v1" / f) for f in os.listdir(tmp_path / "t" / "v1")} == before
+    store.replace("t", store.read("t").where("id = 1"))
+    store.replace("t", store.read("t"))
+    assert sorted(os.listdir(tmp_path / "t")) == ["v3", "v4"]
+    assert store.read("t").count() == 2
