@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.staging import staged
+from ..plans.staging import staged, staged_bytes
 from .tables import slices, table
 
 # --- fixed values: chains of (encoding written, encoding read), undone from the last to the first
@@ -48,7 +48,7 @@ LOST = "�"
 POOLED = "*"  # all languages together: the vocabulary for texts without a language
 RATIO = 3  # times an original must be as frequent as its garbled form, if the form is no valid UTF-8
 SHORT_RATIO = 10  # the same for single characters and units, and for pooled languages
-BROADCAST_ROWS = 500_000  # rows of the table of garbled forms up to which it is broadcast
+BROADCAST_BYTES = 4 << 20  # written size of a table up to which it is broadcast; beyond, it is joined by shuffle
 FLUSH = 100_000  # words counted before a task hands its counts on
 
 _WORD = re.compile(r"[^\x00-/:-@\[-`{-\x7f]*[^\x00-\x7f][^\x00-/:-@\[-`{-\x7f]*")
@@ -148,7 +148,7 @@ def vocabulary(documents: DataFrame) -> DataFrame:
     language and pooled.  Words with replacement signs and texts that are null
     or empty do not count."""
     repeated = staged(_repeated(documents), "repeated")
-    few = repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = staged_bytes(repeated) <= BROADCAST_BYTES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[tuple[str, str], float] = {}
@@ -265,7 +265,7 @@ def repair(documents: DataFrame) -> DataFrame:
     are repaired each."""
     counted = staged(vocabulary(documents), "vocabulary")
     hits = staged(garbled_table(counted), "garbled")
-    few = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = staged_bytes(hits) <= BROADCAST_BYTES
 
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("word", pa.string())])
 

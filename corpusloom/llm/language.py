@@ -7,8 +7,11 @@ the texts of a batch become one array of code points, n-gram hashes are formed
 by shifting that array, and the matrix rows they select are summed per segment
 with `numpy.add.reduceat`; a batch takes a fixed number of numpy calls.
 
-`page_languages` scores every body line of prose of every page, whole, gives the
-page the language of most of its body, and reports foreign paragraphs.
+`document_languages` gives each document, whatever it is, its language with a
+confidence.  `page_languages` scores every body line of prose of every page,
+whole, gives the page the language of most of its body, and reports foreign
+paragraphs.  All languages are equally likely beforehand: how many samples a
+language has says nothing about the corpus.
 """
 
 from __future__ import annotations
@@ -155,6 +158,53 @@ def label_language(label: F.Column) -> F.Column:
     return F.coalesce(F.try_element_at(pairs, clean), F.try_element_at(pairs, F.split_part(clean, F.lit("-"), F.lit(1))), F.try_element_at(pairs, F.split_part(clean, F.lit(" "), F.lit(1))))
 
 
+UNKNOWN = "und"  # code of a text without letters
+DOCUMENTS = "tbl string, row_id long, lang string, confidence double, share double"
+
+
+def document_languages(documents: DataFrame, model: Model) -> DataFrame:
+    """(tbl, row_id, lang, confidence, share): the language of each row of
+    `documents` (tbl, row_id, title, text), none left out.
+
+    Every line with letters outside of site furniture is scored; a text that is
+    all furniture is scored as a whole.  The language is that of most characters,
+    ties by code; `share` is its part of them, and `confidence` the mean of its
+    lines' confidence by characters, times that part.  Null and empty texts and
+    texts without letters are `und` with confidence 0.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("share", pa.float64())])
+
+    def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in slices(batches):
+            texts: list[str] = []
+            kept: list[tuple] = []
+            for tbl, row_id, title, text in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = (text or "").split("\n")
+                filled = [(s, f) for line, f in zip(lines, furniture_flags(lines, title)) if (s := line.strip()) and any(map(str.isalpha, s))]
+                chosen = [s for s, f in filled if not f] or [s for s, _ in filled]
+                kept.append((tbl, row_id, len(texts), len(chosen) if model.langs else 0))
+                texts += chosen
+            best, sure = score(model, texts)
+            sizes = np.array([len(t) for t in texts], dtype=float)
+            rows = []
+            for tbl, row_id, at, count in kept:
+                if not count:
+                    rows.append((tbl, row_id, UNKNOWN, 0.0, 0.0))
+                    continue
+                own, size = best[at : at + count], sizes[at : at + count]
+                chars = np.bincount(own, weights=size, minlength=len(model.langs))
+                main = int(chars.argmax())
+                share = chars[main] / chars.sum()
+                mean = (sure[at : at + count] * size)[own == main].sum() / chars[main]
+                rows.append((tbl, row_id, model.langs[main], float(mean * share), float(share)))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    return documents.select("tbl", F.col("row_id").cast("long"), "title", "text").mapInArrow(detect, DOCUMENTS)
+
+
 SEGMENTS = "page_id long, url string, line_no int, lang string, confidence double, chars long"
 
 
@@ -243,7 +293,14 @@ def p3_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.groupBy("label").agg(F.count("*").alias("pages"), F.first(label_language(F.col("label"))).alias("lang"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_segments": p3_segments, "p3_declared": p3_declared}
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page and every document, one row each."""
+    pages = table(spark, sf_dir, "indexed_pages").select(F.lit("indexed_pages").alias("tbl"), F.col("id").alias("row_id"), "title", F.col("content").alias("text"))
+    documents = table(spark, sf_dir, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_id"), "title", "text")
+    return document_languages(pages.unionByName(documents), train_from_tables(spark, sf_dir))
+
+
+QUERIES = {"p3_found": p3_found, "p3_languages": p3_languages, "p3_segments": p3_segments, "p3_declared": p3_declared}
 _NAMES = {name: code for code, names in LANGUAGE_NAMES.items() for name in (code, *names.split())}
 SQL = {
     "p3_declared": f"""

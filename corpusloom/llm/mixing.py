@@ -15,8 +15,9 @@ domain.
 3. Each leaf takes as many whole epochs as fit its budget, and of one more epoch
    the token prefix of a seeded order.  The prefix is found in parallel: tokens
    are summed per leaf and hash bucket, buckets before the border are taken
-   whole, and only the documents next to the border are sorted; among them a
-   text that is too long for the rest is passed over.
+   whole, and only the documents of the border's bucket are sorted.  The prefix
+   ends where it comes nearest to the budget; what a leaf takes too much or too
+   little is made good by the next leaf of its source.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ from .tables import small_rows, table
 from .tokens import token_sizes
 
 BUCKETS = 4096  # hash buckets of a leaf's order
-CHOICE = 2000  # documents from the border on, in whole buckets, among which the end of a prefix is chosen
+TOLERANCE = 0.01  # by how much a source's share may fall short for the sake of a larger mixture
+ALL_TEXTS = "all texts"  # size of a mixture: that of all texts of the listed sources, each once
 SEED = 20_24
 
 
@@ -86,7 +88,7 @@ def leaf_of(source: F.Column) -> F.Column:
     return F.regexp_extract(source, r"([^.]*)$", 1)
 
 
-def mixture(documents: DataFrame, weights: DataFrame, total_tokens: int | None = None, seed: int = SEED) -> DataFrame:
+def mixture(documents: DataFrame, weights: DataFrame, total_tokens: int | str | None = None, seed: int = SEED) -> DataFrame:
     """(source, doc_id, n_tokens, repeats): the documents of the mixture and how
     often each is used.
 
@@ -95,9 +97,11 @@ def mixture(documents: DataFrame, weights: DataFrame, total_tokens: int | None =
     listed take no part; a null language is a language of its own; texts of no
     tokens are used in whole epochs only.  `total_tokens` is the size of the
     mixture, by default the largest at which every listed source that has tokens
-    can reach its share within its repeats.  The share of a source without
-    documents is a shortage of its domain.  The result depends on the seed and
-    the ids alone, not on partitions.
+    can come within `TOLERANCE` of its share within its repeats; with `ALL_TEXTS`
+    that of all texts of the listed sources.  The share of a
+    source without documents, and what a scarce source falls short, is a shortage
+    of its domain.  The result depends on the seed and the ids alone, not on
+    partitions.
     """
     listed = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in small_rows(weights.select("source", "target_share", "max_repeats")) if r.source}
     ours = documents.where(F.col("source").isin(list(listed)))
@@ -114,9 +118,14 @@ def mixture(documents: DataFrame, weights: DataFrame, total_tokens: int | None =
     for (_, _, source), tokens in totals.items():
         of_source[source] += tokens
     everything = sum(share for share, _ in listed.values())
-    if total_tokens is None:
-        reach = [of_source[name] * most * everything / share for name, (share, most) in listed.items() if of_source[name] and share > 0 and most > 0]
-        total_tokens = min(reach, default=0)
+    if total_tokens == ALL_TEXTS:
+        total_tokens = sum(of_source.values())
+    elif total_tokens is None:
+        reach = [
+            of_source[name] * most / (share / everything - TOLERANCE)
+            for name, (share, most) in listed.items() if of_source[name] and most > 0 and share / everything > TOLERANCE
+        ]
+        total_tokens = min([*reach, sum(of_source[name] * most for name, (_, most) in listed.items())])
     # a leaf whose texts are all longer than its part of the budget leaves it to the other languages of its source
     part = {p: total_tokens * listed[p[2]][0] / everything * t / of_source[p[2]] for p, t in totals.items() if t}
     parts = F.broadcast(sized.sparkSession.createDataFrame([(*p, b) for p, b in part.items()], "domain string, lang string, source string, part double"))
@@ -137,37 +146,41 @@ def mixture(documents: DataFrame, weights: DataFrame, total_tokens: int | None =
     planned = F.broadcast(spark.createDataFrame(plan, "domain string, lang string, source string, epochs long, rest double"))  # one row a leaf
     ordered = Window.partitionBy(*leaf).orderBy("bucket")
     whole_leaf = Window.partitionBy(*leaf)
-    borders = per_bucket.join(planned, leaf).withColumns({"before": F.sum("tokens").over(ordered) - F.col("tokens"), "docs_before": F.sum("docs").over(ordered) - F.col("docs")})
-    borders = borders.withColumns({
-        "start": F.max(F.when(F.col("before") < F.col("rest"), F.col("before"))).over(whole_leaf),
-        "docs_start": F.max(F.when(F.col("before") < F.col("rest"), F.col("docs_before"))).over(whole_leaf),
-    }).withColumn(
-        "state",
-        F.when(F.col("start").isNull() | (F.col("docs_before") >= F.col("docs_start") + CHOICE), "out").when(F.col("docs_before") < F.col("docs_start"), "in").otherwise("border"),
+    borders = per_bucket.join(planned, leaf).withColumn("before", F.sum("tokens").over(ordered) - F.col("tokens"))
+    # the bucket in which the prefix ends: the last one that begins before its end
+    borders = borders.withColumn("start", F.max(F.when(F.col("before") < F.col("rest"), F.col("before"))).over(whole_leaf)).withColumn(
+        "state", F.when(F.col("start").isNull() | (F.col("before") > F.col("start")), "out").when(F.col("before") < F.col("start"), "in").when(F.col("before") < F.col("rest"), "border").otherwise("out")
     )
     placed = sized.join(borders.select(*leaf, "bucket", "epochs", "rest", "start", "state"), [*leaf, "bucket"])
     columns = ["source", "doc_id", "n_tokens", "repeats"]
     whole = placed.where("state != 'border'").withColumn("repeats", F.col("epochs") + F.when(F.col("state") == "in", 1).otherwise(0)).select(*columns)
     border = placed.where("state = 'border'").select(*leaf, "doc_id", "n_tokens", "place", "epochs", (F.col("rest") - F.col("start")).alias("rest"))
-    chosen = border.groupBy(*leaf).applyInArrow(_prefix, "source string, doc_id long, n_tokens long, repeats long")
+    # one bucket of each leaf of a source: a few documents
+    chosen = border.groupBy("source").applyInArrow(_prefix, "source string, doc_id long, n_tokens long, repeats long")
     return whole.unionByName(chosen).where("repeats > 0")
 
 
 def _prefix(border: pa.Table) -> pa.Table:
-    """Prefix of the documents at a leaf's border: in seeded order, each that
-    still fits; at the end the smallest skipped one if that comes nearer."""
-    border = border.sort_by([("place", "ascending"), ("doc_id", "ascending")])
+    """Prefixes of the documents at the borders of a source's leaves, in seeded
+    order, each ending where its tokens come nearest to what is left of the
+    budget and of the leaves before."""
+    border = border.sort_by([("domain", "ascending"), ("lang", "ascending"), ("place", "ascending"), ("doc_id", "ascending")])
     sizes = border.column("n_tokens").to_numpy()
-    room = border.column("rest")[0].as_py()
+    rooms = border.column("rest").to_numpy()
+    leaves = list(zip(border.column("domain").to_pylist(), border.column("lang").to_pylist()))
     more = np.zeros(len(sizes), dtype=np.int64)
-    for i, size in enumerate(sizes):
-        if 0 < size <= room:
-            more[i] = 1
-            room -= size
-    skipped = np.flatnonzero((more == 0) & (sizes > 0))
-    if len(skipped) and room > 0:
-        i = skipped[np.argmin(sizes[skipped])]
-        more[i] = int(sizes[i] - room < room)
+    carried = 0.0
+    start = 0
+    while start < len(leaves):
+        end = start
+        while end < len(leaves) and leaves[end] == leaves[start]:
+            end += 1
+        wanted = rooms[start] + carried
+        sums = np.concatenate([[0], np.cumsum(sizes[start:end])])
+        taken = int(np.argmin(np.abs(sums - wanted)))
+        more[start : start + taken] = sizes[start : start + taken] > 0
+        carried = wanted - sums[taken]
+        start = end
     repeats = border.column("epochs").to_numpy() + more
     return pa.table({"source": border.column("source"), "doc_id": border.column("doc_id"), "n_tokens": border.column("n_tokens"), "repeats": pa.array(repeats, pa.int64())})
 
@@ -194,5 +207,16 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(staged(p9_mixture(spark, sf_dir), "mixture"), weights)
 
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares}
+def p9_full_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixture as large as all texts of the listed sources together: scarce
+    sources are repeated up to their cap, and what they then fall short goes to
+    their siblings, then to the rest of the tree."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"), ALL_TEXTS)
+
+
+def p9_full_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shares(staged(p9_full_mixture(spark, sf_dir), "mixture"), table(spark, sf_dir, "source_weights"))
+
+
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_full_mixture": p9_full_mixture, "p9_full_shares": p9_full_shares}
 SQL: dict[str, str] = {}

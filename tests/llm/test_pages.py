@@ -321,3 +321,15 @@ def test_host_evidence_finds_unknown_residue(spark):
 def test_long_notice():
     assert residue.notice("Error 503: the service is down. " + "It will be back after some work on it. " * 8)
     assert not residue.notice("The error of 503 was a mistake in the year. " + "It was told at length. " * 20)
+
+
+@needs_data
+def test_every_document_has_a_language(spark):
+    model = language.train_from_tables(spark, DATA)
+    german = "Der alte Hafen liegt an der Küste, und die Fähre fährt jeden Morgen zu den Inseln."
+    english = "The old harbour lies on the coast, and the ferry leaves for the islands every morning."
+    rows = [("t", 1, None, german), ("t", 2, None, None), ("t", 3, None, ""), ("t", 4, None, "12 34\n- -"), ("t", 5, None, "* the harbour\n* the island"), ("t", 6, None, f"{german} {german}\n{english}"), ("t", 7, None, "Home | About us"), ("t", 1, None, german)]
+    got = [(r.row_id, r.lang, r.confidence, r.share) for r in language.document_languages(spark.createDataFrame(rows, "tbl string, row_id long, title string, text string"), model).collect()]
+    assert sorted((i, lang) for i, lang, _, _ in got) == [(1, "de"), (1, "de"), (2, "und"), (3, "und"), (4, "und"), (5, "en"), (6, "de"), (7, "en")]
+    by_id = {i: (c, s) for i, _, c, s in got}
+    assert by_id[1][0] > 0.95 and by_id[2] == (0.0, 0.0) and 0.5 < by_id[6][1] < 0.8 and by_id[6][0] < by_id[1][0]
