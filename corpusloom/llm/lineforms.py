@@ -167,18 +167,20 @@ def page_form(body: list[str], common: frozenset[str], repetition: bool = True)
     forms: list[str] = []
     chars: Counter[str] = Counter()
     count: Counter[str] = Counter()
-    loose_words = loose_lines = bare_chars = n_terms = n_common = 0
+    loose_words = loose_lines = bare_chars = n_words = n_common = 0
     bare: list[str] = []
     for line in body:
         form = line_form(line)
         forms.append(form)
-        terms = _TERM.findall(line.lower())
-        shared = sum(map(common.__contains__, terms))
-        n_terms += len(terms)
+        words = line.lower().split()
+        shared = sum(map(common.__contains__, words))
+        n_words += len(words)
         n_common += shared
-        if form not in (ENTRY, CELLS, JUNK) and len(terms) >= 2 and shared < SPARSE * len(terms):
-            bare += terms
-            bare_chars += len(line)
+        if shared < SPARSE * len(words) and form not in (ENTRY, CELLS, JUNK):
+            terms = _TERM.findall(line.lower())
+            if len(terms) >= 2 and sum(map(common.__contains__, terms)) < SPARSE * len(terms):
+                bare += terms
+                bare_chars += len(line)
         if form in (PROSE, HEADING) and not _SENTENCE_END.search(line):
             loose_lines += 1
             loose_words += line.count(" ") + 1
@@ -187,7 +189,7 @@ def page_form(body: list[str], common: frozenset[str], repetition: bool = True)
         chars[form] += len(line)
         count[form] += 1
     total = sum(chars.values())
-    shares = {"dominance": dominance(bare, common), "bare": bare_chars / total, "common": n_common / n_terms if n_terms else 0.0, **{f: c / total for f, c in chars.items()}}
+    shares = {"dominance": dominance(bare, common), "bare": bare_chars / total, "common": n_common / n_words if n_words else 0.0, **{f: c / total for f, c in chars.items()}}
     if repetition and bare_chars > MOST * total and shares["dominance"] >= DOMINANT and len(bare) >= DOMINANT_TERMS:
         return "keywords", shares, forms
     entries = chars[ENTRY] + chars[LABELS]
