@@ -33,7 +33,7 @@ from ..plans.staging import staged
 from .tables import slices, small_rows, table
 from .tokens import token_sizes
 
-SALTS = 64  # parts in which the pieces of one size are numbered
+SALTS, SALT_ROWS = 64, 2_000_000  # parts in which the pieces of one size are numbered, at least; pieces a part from which there are more
 LARGEST_CAPACITY = 1_000_000  # bounds the histogram and the plan
 
 
@@ -176,7 +176,9 @@ def pack(sizes: DataFrame, capacities: list[int]) -> DataFrame:
     sizes = sizes.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
     if not capacities:
         return sizes.sparkSession.createDataFrame([], PACKED)
-    items = staged(pieces(sizes, capacities).withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)).cast("int")), "pieces")
+    cut = staged(pieces(sizes, capacities), "pieces")
+    salts = max(SALTS, cut.count() // SALT_ROWS)
+    items = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(salts)).cast("int"))
     counts = staged(items.groupBy("capacity", "size", "salt").agg(F.count("*").alias("n")), "piece-counts")
     histogram: dict[int, dict[int, int]] = {c: {} for c in capacities}
     for r in counts.groupBy("capacity", "size").agg(F.sum("n").alias("n")).collect():  # at most the sum of the capacities
