@@ -684,7 +684,7 @@ _DAYS = "(SELECT date_trunc('day', started_at) + to_days(i::INT) AS d FROM range
     (SELECT min(d + INTERVAL 9 HOUR) FROM {_DAYS.format(n=8)} WHERE isodow(d) <= 5 AND d + INTERVAL 9 HOUR >= {_AFTER}) AS workday,
     (SELECT min(d + to_minutes(m::INT)) FROM {_DAYS.format(n=3)}, range(0, 1440, 20) AS q(m) WHERE d + to_minutes(m::INT) >= {_AFTER}) AS thrice_hourly,
     (SELECT min(d) FROM {_DAYS.format(n=3200)} WHERE month(d) = 2 AND day(d) = 29 AND d >= {_AFTER}) AS leap_day
-    FROM crawl_sessions""")
+    FROM (SELECT id, started_at AT TIME ZONE 'UTC' AS started_at FROM crawl_sessions)""")
 def cron_next(spark, d):
     """Next run after the start of each session, by several crontab expressions."""
     at = F.col("started_at")
