@@ -190,7 +190,8 @@ def furniture_flags(lines: list[str], title: str | None = None, template: list[b
             taken = 0
         elif kind == FURNITURE or (template and template[i]):
             out[i] = True
-            taken = -1
+            # a title that the template knows does not end a block of titles
+            taken = taken + 1 if taken >= 0 and kind == BODY and title_like(line) else -1
         elif taken >= 0:
             # the page's own title may be among the related ones, but not after the block
             if title_like(line) and (line != title or taken < LEAST_RELATED):
