@@ -103,6 +103,14 @@ def url_resolve(spark, d):
     )
 
 
+@query("""SELECT src, dst, lower(regexp_extract(src, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) = lower(regexp_extract(dst, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS internal
+          FROM (SELECT url AS src, unnest(links).url AS dst FROM parsed_pages)""")
+def url_internal(spark, d):
+    """Which links stay on their page's host."""
+    edges = load(spark, d, "parsed_pages").select(F.col("url").alias("src"), F.explode("links.url").alias("dst"))
+    return edges.withColumn("internal", U.is_internal("dst", "src"))
+
+
 # --- pages and links --------------------------------------------------------
 def _escaped(c: Column) -> Column:
     for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -255,14 +263,20 @@ def sitemap_expand(spark, d):
     return sitemap.expand_sitemaps(fixtures.sitemap_files(spark), start).select(F.col("loc").alias("url"), "level")
 
 
-@query()
+@query(f"""WITH r AS {fixtures.values_sql(fixtures.ROBOTS, 'domain, base_url, content')}, f AS {fixtures.values_sql(fixtures.SITEMAPS, 'sitemap_url, content')}
+  SELECT domain, domain || unnest(regexp_extract_all(content, '(?i)sitemap:\\s*(/\\S+)', 1)) AS place FROM r UNION
+  SELECT domain, domain || p.place FROM r, (SELECT unnest({sitemap.WELL_KNOWN!r}) AS place) p WHERE 'https://' || domain || p.place IN (SELECT sitemap_url FROM f)""")
 def sitemap_discover(spark, d):
     files = fixtures.robots_files(spark)
     found = sitemap.discover(files.select("domain"), robots.sitemaps(files), fixtures.sitemap_files(spark))
     return found.select("domain", F.regexp_replace("sitemap_url", "^https://", "").alias("place"))
 
 
-@query()
+@query(f"""WITH RECURSIVE f AS {fixtures.values_sql(fixtures.SITEMAPS, 'sitemap_url, content')},
+  e AS (SELECT sitemap_url, contains(content, '<sitemapindex') AS idx, trim(unnest(regexp_extract_all(content, '(?i)<loc>\\s*([^<]+)\\s*</loc>', 1))) AS loc FROM f),
+  w(start, u, level) AS (SELECT sitemap_url, sitemap_url, 0 FROM (SELECT DISTINCT sitemap_url FROM f ORDER BY 1 LIMIT 5) UNION SELECT w.start, e.loc, w.level + 1 FROM w JOIN e ON e.sitemap_url = w.u AND e.idx WHERE w.level < 3),
+  v AS (SELECT DISTINCT start, u FROM w)
+  SELECT v.start, e.loc AS url, 1 AS depth, 'HIGH' AS priority FROM v JOIN e ON e.sitemap_url = v.u WHERE NOT e.idx""")
 def sitemap_seeds(spark, d):
     start = fixtures.sitemap_files(spark).select("sitemap_url")
     return sitemap.seeds(sitemap.expand_sitemaps(fixtures.sitemap_files(spark), start))

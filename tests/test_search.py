@@ -109,3 +109,18 @@ def test_empty_store(spark, store):
     assert page.count() == 0
     assert total.first().total == 0
     assert rows(search.doc_lengths(none)) == []
+
+
+def test_stored_index_equals_the_other(spark, tmp_path):
+    """The stored index, read by partitions, ranks as the one made on the fly; a
+    prefix of one letter reads all of it."""
+    rows = [(i, f"https://h.example/{i}", f"Title {w}", f"Text about {w} and telescopes {i}", None) for i, w in enumerate("tea tent tiger moon Übung mill tea".split())]
+    store = spark.createDataFrame(rows, "id long, url string, title string, content string, description string")
+    index, lengths = search.stored_index(store, f"file://{tmp_path}/index")
+    for text in ("t*", "te*", "telescope moon", '"about tea"', "ubung", "tea OR tiger", "tea NOT tent"):
+        query = search.parse_query(text)
+        a = {r.doc_id: round(r.score, 9) for r in search.bm25(index, lengths, query).collect()}
+        b = {r.doc_id: round(r.score, 9) for r in search.bm25(search.postings(store), search.doc_lengths(store), query).collect()}
+        assert a == b and a
+    empty = search.stored_index(store.limit(0), f"file://{tmp_path}/none")
+    assert search.bm25(*empty, search.parse_query("tea")).count() == 0
