@@ -52,7 +52,7 @@ SHARED_HOSTS = 3  # hosts whose templates hold a token of the shared template
 SHARED_PART = 0.5  # part that they are, at least, of the hosts on which the token recurs at all
 OPENS = 0.6  # share of a token's pages on which a run of titles follows it, from which it opens a slot
 RUN = 2  # titles of a run at least
-BROADCAST_BYTES = 8 << 20  # written size of the templates up to which they are broadcast; beyond, they join the pages by host
+BROADCAST_BYTES = 8 << 20  # written size of the templates up to which they are broadcast; beyond, they join the pages' tokens
 
 _DIGITS = re.compile(r"\d+", re.ASCII)
 _FIELDS = re.compile(r"\s{2,}|\t|\s?\|\s?|\s[>›»·•/–-]\s")
@@ -126,8 +126,6 @@ def page_tokens(pages: DataFrame) -> DataFrame:
     return columns.mapInArrow(compute, TOKENS)
 
 
-TEMPLATE_SCHEMA = "host string, token long, level int, support long, opens boolean"
-
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
     """Template tokens of each host: (host, token, level, support, opens).
@@ -173,6 +171,29 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     return own.unionByName(shared.select(F.lit("").alias("host"), "token", F.lit(0).alias("level"), "support", (F.col("opens") >= 0.5).alias("opens")))
 
 
+def _with_own_tokens(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """`texts` with those of each row's tokens that its host's or the shared
+    template holds, found by joins, for templates that are too large for a
+    broadcast.  A row has no more of them than fields."""
+    schema = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("host", pa.string()), ("token", pa.int64())])
+
+    def fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = [
+                (tbl, row_id, host, token) for tbl, row_id, host, text in zip(*(c.to_pylist() for c in batch.columns))
+                for token in {t for line in (text or "").split("\n") for t in line_tokens(line.strip())}
+            ]
+            columns = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    held = staged(texts.select("tbl", "row_id", "host", "text").mapInArrow(fields, "tbl string, row_id long, host string, token long"), "fields")
+    own = held.join(known.where("host != ''"), ["host", "token"]).select("tbl", "row_id", "token", "opens", F.lit(1).alias("rank"))
+    shared = held.join(known.where("host = ''").select("token", "opens"), "token").select("tbl", "row_id", "token", "opens", F.lit(0).alias("rank"))
+    best = own.unionByName(shared).groupBy("tbl", "row_id", "token").agg(F.max_by("opens", "rank").alias("opens"))
+    sets = best.groupBy("tbl", "row_id").agg(F.collect_list(F.struct("token", "opens")).alias("tokens"))
+    return texts.join(sets, ["tbl", "row_id"], "left").select("tbl", "row_id", "title", "text", "host", F.coalesce("tokens", F.array().cast("array<struct<token:bigint,opens:boolean>>")).alias("tokens"))
+
+
 LABELS = "tbl string, row_id long, line_no int, origin string"
 
 
@@ -210,19 +231,13 @@ def label_lines(documents: DataFrame, templates: DataFrame, wording: bool = True
     """
     known = staged(templates.select("host", "token", "opens"), "templates")
     texts = documents.select("tbl", F.col("row_id").cast("long"), "title", "text", host_of(F.col("url")).alias("host"))
-    # of the shared template there is one row for each wording that several hosts have
-    common = known.where("host = ''")
     by_host: dict[str, dict[int, bool]] = {"": {}}
     if staged_bytes(known) <= BROADCAST_BYTES:
         for r in known.collect():
             by_host.setdefault(r.host, {})[r.token] = r.opens
         columns = texts.select("tbl", "row_id", "title", "text", "host", F.lit(None).cast("array<struct<token:bigint,opens:boolean>>").alias("tokens"))
     else:
-        held = known.where("host != ''").groupBy("host").agg(F.collect_list(F.struct("token", "opens")).alias("tokens"))  # bounded for each host, see above
-        if staged_bytes(staged(common, "shared-template")) > BROADCAST_BYTES:
-            raise ValueError("the shared template is larger than any set of wordings; raise SHARED_HOSTS")
-        by_host[""] = {r.token: r.opens for r in common.collect()}
-        columns = texts.join(held, "host", "left").select("tbl", "row_id", "title", "text", "host", F.coalesce("tokens", F.array().cast("array<struct<token:bigint,opens:boolean>>")).alias("tokens"))
+        columns = _with_own_tokens(texts, known)
     shared = documents.sparkSession.sparkContext.broadcast(by_host)
     schema = pa.schema([("tbl", pa.string()), ("row_id", pa.int64()), ("line_no", pa.int32()), ("origin", pa.string())])
 
@@ -234,7 +249,7 @@ def label_lines(documents: DataFrame, templates: DataFrame, wording: bool = True
                 if not text:
                     continue
                 if tokens is not None:
-                    template = {**shared.value[""], **{x["token"]: x["opens"] for x in tokens}}
+                    template = {x["token"]: x["opens"] for x in tokens}
                 elif host in merged:
                     template = merged[host]
                 else:

@@ -27,7 +27,6 @@ _SYMBOLS = str.maketrans("", "", "^|~_\\/`;:<>=#$%&*@{}[]+")
 _ODD_INSIDE = re.compile(r"\S*?(?:\w[\^|~_\\/`;:!.,'*]+[^\W\d_]|(?<!\S)[\^|~_\\/`;:.,']+\w|[\^~_\\`|])\S*")
 _WORDISH = re.compile(r"[^\W\d_]")
 _VOWEL = re.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûãõåæøœаеёиоуыэюя]", re.I)
-_PRODUCT = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+\Z")
 _LEADER = re.compile(r"\.{4,}")
 _WIDE = re.compile(r"\S {2,}(?=\S)")
 _SENTENCE_END = re.compile(r"[.!?…][\"”“»’)\]]*\Z")

@@ -20,7 +20,6 @@ hashes of mismatched responses and of titles, with map-side combining.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,10 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.staging import staged
-from .boilerplate import host_of
+from .boilerplate import host_of, stored_texts
 from .furniture import furniture_flags, title_like
 from .lineforms import PROSE, line_form
-from .tables import common_words, slices, table
+from .tables import common_words, slices
 
 # --- fixed values -----------------------------------------------------------
 # Names that stand for fields of a template.
@@ -292,15 +291,8 @@ def residue(documents: DataFrame, common: frozenset[str] = frozenset(), lists: b
     return parts[0].select("tbl", "row_id").unionByName(parts[1].select("tbl", "row_id").distinct()).unionByName(parts[2].select("tbl", "row_id"))
 
 
-def stored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tbl, row_id, url, title, text) of both tables."""
-    pages = table(spark, sf_dir, "indexed_pages").select(F.lit("indexed_pages").alias("tbl"), F.col("id").alias("row_id"), "url", "title", F.col("content").alias("text"))
-    versions = table(spark, sf_dir, "page_versions").select(F.lit("page_versions").alias("tbl"), F.col("id").alias("row_id"), "url", "title", F.col("text_content").alias("text"))
-    return pages.unionByName(versions)
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue(stored_rows(spark, sf_dir), common_words(spark, sf_dir))
+    return residue(stored_texts(spark, sf_dir), common_words(spark, sf_dir))
 
 
 QUERIES = {"p4_found": p4_found}

@@ -143,6 +143,16 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r.line_no for r in boilerplate.label_lines(docs, boilerplate.deduce_templates(df)).collect()} == {4}
 
 
+def test_large_templates_join(spark, monkeypatch):
+    """Without a broadcast the same lines are found."""
+    df = spark.createDataFrame(site_pages(hosts=4, per_host=20) + [("https://one.example/", None, "Zorgle\nA sentence of its own stands on this page.")], "url string, title string, text string")
+    docs, templates = described(df), boilerplate.staged(boilerplate.deduce_templates(df), "t")
+    want = sorted(tuple(r) for r in boilerplate.label_lines(docs, templates).collect())
+    monkeypatch.setattr(boilerplate, "BROADCAST_BYTES", 0)
+    assert sorted(tuple(r) for r in boilerplate.label_lines(docs, templates).collect()) == want
+    assert len({x[1] for x in want}) == 81
+
+
 def test_template_edge_cases(spark):
     df = spark.createDataFrame([(None, None, "A"), ("no address", "T", "A"), ("https://h.example/", "T", None), ("https://h.example/", "T", ""), ("https://h.example/", "T", "\n\n"), ("https://h.example/l", "T", "x" * 300_000)], "url string, title string, text string")
     templates = boilerplate.deduce_templates(df)
