@@ -87,7 +87,8 @@ def stored_index(store: DataFrame, path: str, columns: tuple[str, ...] = COLUMNS
     their terms only, and texts are never tokenised again."""
     spark = store.sparkSession
     index = postings(store, columns, stem, doc_id)
-    index.withColumn("lead", lead_of(F.col("term"))).repartition("lead", F.pmod("doc_id", F.lit(8))).write.partitionBy("lead").parquet(path + "/postings")
+    # brought together by partition, large ones in several files
+    index.withColumn("lead", lead_of(F.col("term"))).hint("rebalance", "lead").write.partitionBy("lead").parquet(path + "/postings")
     doc_lengths(store, columns, doc_id).write.parquet(path + "/lengths")
     return spark.read.schema(INDEX).parquet(path + "/postings"), spark.read.schema(LENGTHS).parquet(path + "/lengths")
 

@@ -447,7 +447,7 @@ def _ranked(spark, d, text: str, stem: bool = False) -> DataFrame:
 
 @query(f"WITH {_POSTINGS} SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM post GROUP BY 1")
 def search_postings(spark, d):
-    index = search.postings(load(spark, d, "indexed_pages"), stem=False)
+    index, _ = _index(spark, d)
     per_doc = index.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     return per_doc.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("documents"))
 
