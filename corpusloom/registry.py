@@ -750,6 +750,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked full-text search over the pages: title, host and score of the best
     matches of a boolean query with a prefix."""
     store = load(spark, sf_dir, "indexed_pages")
-    rows, _ = search.search(store, *_index(spark, d, stem=True), "telescope OR vaccine OR season")
+    rows, _ = search.search(store, *_index(spark, sf_dir, stem=True), "telescope OR vaccine OR season")
     return rows
 

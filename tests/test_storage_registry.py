@@ -50,3 +50,12 @@ def test_entry_points():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "search_bm25" in entry.queries()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_flagship_query_runs(spark):
+    """The query the driver smokes, on the smallest tables."""
+    import __spark_entry__
+
+    found = __spark_entry__.entry(spark)
+    assert found.columns[:2] == ["doc_id", "url"] and 0 < found.count() <= 20
