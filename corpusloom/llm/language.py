@@ -1,7 +1,7 @@
 """Problem 3: the language of documents and of their mixed-language segments.
 
-Multinomial naive Bayes over hashed character n-grams.  `train` counts the
-n-grams of labelled texts, bounded in number, on the driver and gives a
+Multinomial naive Bayes over hashed character n-grams.  The n-grams of all
+labelled texts are counted where they are read (`ngrams`) and give a
 log-probability matrix of fixed size, which is broadcast.  Scoring is sparse:
 the texts of a batch become one array of code points, n-gram hashes are formed
 by shifting that array, and the matrix rows they select are summed per segment
@@ -33,7 +33,6 @@ from .tables import common_words, slices, small_rows, table
 BUCKETS = 1 << 15
 ORDERS = (2, 3)
 SMOOTHING = 0.5
-MOST_SAMPLES = 20_000  # labelled texts a model is trained on at most
 CHUNK_CHARS = 400_000  # characters scored at once
 PARAGRAPH_WORDS = 6  # words of a line from which it counts as a paragraph of sentences
 SURE = 0.99  # confidence from which a line is reported as foreign
@@ -92,18 +91,29 @@ def _hashes(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def _count(texts: list[str]) -> np.ndarray:
+    """How often each bucket occurs in the texts; n-grams across a border are in
+    the last one."""
+    return sum(np.bincount(h, minlength=BUCKETS + 1) for h in _hashes(_codes(texts)[0]))
+
+
 def train(samples: list[tuple[str, str]], words: list[tuple[str, str]] = ()) -> Model:
     """Model of (language, text) samples and (language, word) pairs; rows
-    without language or text are skipped.  At most `MOST_SAMPLES` samples."""
-    samples = [(lang, text) for lang, text in samples if lang and text][:MOST_SAMPLES]
-    langs = sorted({lang for lang, _ in samples})
+    without language or text are skipped."""
+    texts: dict[str, list[str]] = {}
+    for lang, text in samples:
+        if lang and text:
+            texts.setdefault(lang, []).append(text)
+    return counted_model({lang: _count(own) for lang, own in texts.items()}, words)
+
+
+def counted_model(grams: dict[str, np.ndarray], words: list[tuple[str, str]] = ()) -> Model:
+    """Model of the n-gram counts of each language and (language, word) pairs;
+    words of other languages are skipped."""
+    langs = sorted(grams)
     counts = np.full((len(langs), BUCKETS + 1), 0.0)
     for i, lang in enumerate(langs):
-        texts = [text for own, text in samples if own == lang]
-        texts += [word for own, word in words if own == lang and word]
-        codes, _ = _codes(texts)
-        for h in _hashes(codes):
-            counts[i] += np.bincount(h, minlength=BUCKETS + 1)
+        counts[i] += grams[lang] + _count([word for own, word in words if own == lang and word])
     counts[:, BUCKETS] = 0
     smoothed = counts[:, :BUCKETS] + SMOOTHING
     logs = np.log(smoothed / smoothed.sum(axis=1, keepdims=True))
@@ -142,11 +152,41 @@ def score(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return best, sure
 
 
+NGRAMS = "lang string, bucket int, occurrences long"
+
+
+def ngrams(samples: DataFrame) -> DataFrame:
+    """(lang, bucket, occurrences): the n-grams of all rows of `samples` (lang,
+    text); rows without language or text are skipped, and a language whose texts
+    have no n-gram still has its border bucket."""
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("occurrences", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts: dict[str, list[str]] = {}
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if lang and text:
+                    texts.setdefault(lang, []).append(text)
+            for lang, own in texts.items():
+                counts = _count(own)
+                buckets = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(buckets), pa.string()), pa.array(buckets.astype(np.int32)), pa.array(counts[buckets].astype(np.int64))], schema=schema)
+
+    return samples.select("lang", "text").mapInArrow(count, NGRAMS).groupBy("lang", "bucket").agg(F.sum("occurrences").alias("occurrences"))
+
+
 def train_from_tables(spark: SparkSession, sf_dir: str) -> Model:
-    """Model of the clean labelled samples and the common words."""
-    samples = table(spark, sf_dir, "subject_samples").select("lang", "text").orderBy("sample_id").limit(MOST_SAMPLES).collect()
+    """Model of all clean labelled samples and the common words.  What comes to
+    the driver has the size of the model, however many samples there are."""
+    counted = ngrams(table(spark, sf_dir, "subject_samples")).toArrow()
+    grams: dict[str, np.ndarray] = {}
+    if counted.num_rows:
+        langs, buckets, occurrences = counted["lang"].combine_chunks().dictionary_encode(), counted["bucket"].to_numpy(), counted["occurrences"].to_numpy()
+        codes = langs.indices.to_numpy()
+        for i, lang in enumerate(langs.dictionary.to_pylist()):
+            grams[lang] = np.bincount(buckets[codes == i], weights=occurrences[codes == i], minlength=BUCKETS + 1)
     words = small_rows(table(spark, sf_dir, "common_words").select("lang", "word"))
-    return train([(r.lang, r.text) for r in samples], [(r.lang, r.word) for r in words])
+    return counted_model(grams, [(r.lang, r.word) for r in words])
 
 
 def label_language(label: F.Column) -> F.Column:

@@ -13,9 +13,14 @@ Training: the clean samples have one subject each, so training documents are
 composed from their sentences - none, one or several subjects in varying shares,
 sentences without subject between - and labelled by the definition (a subject is
 assigned from a quarter of the sentences on).  Their source features are drawn
-as they are on real pages: from a bounded sample of pages the rates are taken at
-which slug, title and category agree with what the sentences are about.  The
-model is small, trained on the driver, and broadcast.
+as they are on real pages: over all pages it is counted how often slug, title
+and category agree with what the sentences are about.  The model is small,
+trained on the driver, and broadcast.
+
+All samples and all pages count, where they are read: terms by their samples,
+sentences by the set of subjects whose terms they hold, pages by their main
+subject and set of categories.  The driver sees terms and counts; categories with
+equal counts are one to it, and what a category says is joined with the pages.
 
 Pages are read once, in Arrow batches; what is joined with the categories and
 decoded are a few numbers a page.
@@ -25,24 +30,23 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.staging import staged
+from ..plans.staging import staged, staged_bytes
 from . import language
 from .furniture import furniture_flags
 from .lineforms import PROSE, page_form
 from .residue import filler, notice, only_notice
 from .tables import common_words, slices, small_rows, table
 
-MOST_SAMPLES = 20_000  # labelled samples used at most
-COMPOSED = 6_000  # training documents composed from them
-MOST_PAGES = 5_000  # pages the source features are fitted on at most, those with the lowest hashes of their ids
+COMPOSED = 6_000  # training documents composed from the samples
 HELD_OUT = 0.25  # share of those kept for calibration
 SURE = 0.9  # probability from which, and below whose complement, the chain alone decides; in between the definition is checked
 QUARTER = 0.25  # share of sentences from which a subject is assigned
@@ -50,6 +54,7 @@ BEAM = 6
 SHORTEST_SENTENCE = 3  # words
 TERM_SAMPLES, TERM_PURITY = 2, 0.85  # samples a term must stand in, share of them of one subject
 SEED = 5
+BROADCAST_BYTES = 4 << 20  # written size of what the sets of categories say up to which it is broadcast; beyond, it is joined by shuffle
 
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»’]?\s+")
@@ -67,22 +72,48 @@ class Chain:
     source: "Source | None" = None
 
 
+def sample_words(samples: Iterable[tuple[str, str, str]], subjects: list[str], common: frozenset[str]) -> Counter:
+    """In how many (language, subject, text) samples of each language and subject
+    (its index) each word stands; common words and those of one or two letters do
+    not count, nor do samples with a null or of a subject that is not listed."""
+    index = {s: i for i, s in enumerate(subjects)}
+    return Counter((lang, word, index[subject]) for lang, subject, text in samples if lang and text and subject in index
+                   for word in set(_WORD.findall(text.lower())) if word not in common and len(word) > 2)
+
+
 def train_terms(samples: list[tuple[str, str, str]], subjects: list[str], common: frozenset[str]) -> dict[str, dict[str, int]]:
     """Terms of each language that tell a subject: in at least `TERM_SAMPLES`
     samples, nearly all of one subject."""
-    seen: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
-    index = {s: i for i, s in enumerate(subjects)}
-    for lang, subject, text in samples:
-        for word in set(_WORD.findall(text.lower())):
-            seen[lang][word][index[subject]] += 1
-    out: dict[str, dict[str, int]] = {}
-    for lang, words in seen.items():
-        out[lang] = {}
-        for word, counts in words.items():
-            (best, n), total = counts.most_common(1)[0], sum(counts.values())
-            if n >= TERM_SAMPLES and n >= TERM_PURITY * total and word not in common and len(word) > 2:
-                out[lang][word] = best
-    return out
+    seen: dict[tuple[str, str], Counter] = defaultdict(Counter)
+    for (lang, word, subject), n in sample_words(samples, subjects, common).items():
+        seen[lang, word][subject] += n
+    out: dict[str, dict[str, int]] = defaultdict(dict)
+    for (lang, word), counts in seen.items():
+        (best, n), total = counts.most_common(1)[0], sum(counts.values())
+        if n >= TERM_SAMPLES and n >= TERM_PURITY * total:
+            out[lang][word] = best
+    return dict(out)
+
+
+def counted_terms(samples: DataFrame, subjects: list[str], common: frozenset[str]) -> dict[str, dict[str, int]]:
+    """`train_terms` of all rows of `samples` (lang, subject, text), counted where
+    they are read; only the terms come to the driver."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("subject", pa.int32()), ("n", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            counts = sample_words(zip(*(c.to_pylist() for c in batch.columns)), subjects, common)
+            columns = [*zip(*counts)] or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, counts.values()], schema.types)], schema=schema)
+
+    counted = samples.select("lang", "subject", "text").mapInArrow(count, "lang string, word string, subject int, n long")
+    each = counted.groupBy("lang", "word", "subject").agg(F.sum("n").alias("n"))
+    best = each.groupBy("lang", "word").agg(F.max(F.struct("n", "subject")).alias("best"), F.sum("n").alias("total"))
+    kept = best.where((F.col("best.n") >= TERM_SAMPLES) & (F.col("best.n") >= F.lit(TERM_PURITY) * F.col("total"))).select("lang", "word", "best.subject").toArrow()
+    out: dict[str, dict[str, int]] = defaultdict(dict)
+    for lang, word, subject in zip(*(c.to_pylist() for c in kept.columns)):
+        out[lang][word] = subject
+    return dict(out)
 
 
 def sentences(paragraph: str) -> list[list[str]]:
@@ -95,18 +126,67 @@ def sentence_subjects(words: list[str], terms: dict[str, int]) -> set[int]:
     return {terms[w] for w in words if w in terms}
 
 
+def sample_sentences(samples: Iterable[tuple[str, str, str]], subjects: list[str], terms: dict[str, dict[str, int]]) -> Counter:
+    """How many sentences of the (language, subject, text) samples of each
+    language and subject (its index) hold terms of each set of subjects."""
+    index = {s: i for i, s in enumerate(subjects)}
+    return Counter((lang, index[subject], tuple(sorted(sentence_subjects(words, terms.get(lang, {}))))) for lang, subject, text in samples if lang and text and subject in index
+                   for words in sentences(text))
+
+
+def counted_sentences(samples: DataFrame, subjects: list[str], terms: dict[str, dict[str, int]]) -> Counter:
+    """`sample_sentences` of all rows of `samples` (lang, subject, text), counted
+    where they are read."""
+    schema = pa.schema([("lang", pa.string()), ("subject", pa.int32()), ("found", pa.list_(pa.int32())), ("n", pa.int64())])
+    shared = samples.sparkSession.sparkContext.broadcast(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            counts = sample_sentences(zip(*(c.to_pylist() for c in batch.columns)), subjects, shared.value)
+            columns = [*zip(*counts)] or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, counts.values()], schema.types)], schema=schema)
+
+    counted = samples.select("lang", "subject", "text").mapInArrow(count, "lang string, subject int, found array<int>, n long")
+    sums = counted.groupBy("lang", "subject", "found").agg(F.sum("n").alias("n")).toArrow()
+    return Counter({(lang, subject, tuple(found)): n for lang, subject, found, n in zip(*(c.to_pylist() for c in sums.columns))})
+
+
 @dataclass
 class Source:
     """What the source of a page tells of its subjects: the chance of a term of
     the main subject, and of any other subject, in slug and title; chance of each
-    category given the main subject (rows; the last row for none), and by how
-    much a category speaks for each subject (log odds)."""
+    category given the main subject (rows; the last row for none; the last column
+    for no category), and by how much a category speaks for each subject (log
+    odds).  Categories with equal counts may share a column, under the name of one
+    of them, with the chance of all; `totals` are the counts the chances are of."""
 
     own: tuple[float, float]
     other: tuple[float, float]
     categories: list[str]
     given: np.ndarray
     odds: np.ndarray
+    totals: np.ndarray | None = None
+
+
+def category_odds(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Log odds for each subject of categories that stand on so many pages of each
+    main subject (rows: main subjects, the last for none), of `totals` pages."""
+    chance = counts / totals[:, None]
+    return np.log(chance[:-1] / chance.mean(axis=0)) if len(chance) > 1 else np.zeros((0, counts.shape[1]))
+
+
+UNSEEN = 0.5  # what is added to each count of a category
+
+
+def source_of(names: list[str], counts: np.ndarray, times: np.ndarray, rates: tuple[np.ndarray, np.ndarray, int, int]) -> Source:
+    """Source model of counts: of categories by main subject (the last column for
+    none), each column standing for `times` categories; `rates` are how often slug
+    and title name the main subject, how often others, pages with and without one."""
+    (own, other, mains, none), n = rates, len(counts) - 1
+    counts = counts + UNSEEN
+    totals = (counts * times).sum(axis=1)
+    chances = tuple((own + 1) / (mains + 4.0)), tuple((other + 0.5) / (mains * (n - 1) + none * n + 2.0 * n + 2))
+    return Source(*chances, names, counts * times / totals[:, None], category_odds(counts, totals), totals)
 
 
 def fit_source(pages: list[tuple[np.ndarray, int, list[int], list[int], list[str]]], n: int) -> Source:
@@ -115,8 +195,8 @@ def fit_source(pages: list[tuple[np.ndarray, int, list[int], list[int], list[str
     of its sentences, from a quarter on."""
     names = sorted({c for *_, categories in pages for c in categories})
     index = {c: i for i, c in enumerate(names)}
-    counts = np.full((n + 1, len(names) + 1), 0.5)
-    own, other, mains, others = np.zeros(2), np.zeros(2), 2.0, 2.0 * n
+    counts = np.zeros((n + 1, len(names) + 1))
+    own, other, mains = np.zeros(2), np.zeros(2), 0
     for hits, total, slug, title, categories in pages:
         main = int(np.argmax(hits)) if n and total and hits.max() >= QUARTER * total else n
         for c in categories or [None]:
@@ -125,10 +205,47 @@ def fit_source(pages: list[tuple[np.ndarray, int, list[int], list[int], list[str
             own[k] += main in found
             other[k] += len([x for x in found if x != main])
         mains += main < n
-        others += n - (main < n)
-    given = counts / counts.sum(axis=1, keepdims=True)
-    odds = np.log(given[:n] / given.mean(axis=0)) if n else np.zeros((0, len(names) + 1))
-    return Source(tuple((own + 1) / (mains + 2)), tuple((other + 0.5) / (others + 2)), names, given, odds)
+    return source_of(names, counts, np.ones(len(names) + 1), (own, other, mains, len(pages) - mains))
+
+
+def count_source(evidence: DataFrame, n: int) -> tuple[Source, DataFrame]:
+    """`fit_source` of all rows of `evidence` (staged, as of `with_categories`),
+    and (categories, odds): what each category says of each set of categories
+    that pages have; the empty set has no row.
+
+    Counted are pages of equal main subject and equal set of categories; of the
+    categories themselves only the different counts come to the driver."""
+    main = F.when((F.col("sentences") > 0) & (F.array_max("hits") >= QUARTER * F.col("sentences")), F.array_position("hits", F.array_max("hits")).cast("int") - 1).otherwise(n)
+    found = [F.sum(F.array_contains(c, F.col("main")).cast("long")).alias(f"own_{c}") for c in ("slug", "title")]
+    found += [F.sum(F.size(F.array_remove(c, F.col("main"))).cast("long")).alias(f"other_{c}") for c in ("slug", "title")]
+    sets = staged(evidence.withColumn("main", main).groupBy("categories", "main").agg(F.count("*").alias("pages"), *found), "category-sets")
+    sums = sets.agg(*[F.sum(f"{k}_{c}").alias(f"{k}_{c}") for k in ("own", "other") for c in ("slug", "title")], F.sum(F.when(F.col("main") < n, F.col("pages"))).alias("mains"), F.sum("pages").alias("pages")).first()
+    mains, pages = sums.mains or 0, sums.pages or 0
+    rates = tuple(np.array([sums[f"{k}_slug"] or 0, sums[f"{k}_title"] or 0], dtype=float) for k in ("own", "other"))
+    each = sets.select(F.explode("categories").alias("category"), "main", "pages").groupBy("category", "main").agg(F.sum("pages").alias("pages"))
+    by_main = F.array_sort(F.collect_list(F.struct("main", "pages")))  # at most one element a subject, and one for none
+    spoken = staged(each.groupBy("category").agg(by_main.alias("counts")), "categories")
+    alike = sorted((r.counts, r.name, r.times) for r in spoken.groupBy("counts").agg(F.min("category").alias("name"), F.count("*").alias("times")).collect())
+    counts = np.zeros((n + 1, len(alike) + 1))
+    for k, (own, _, _) in enumerate(alike):
+        for at, pages_of in own:
+            counts[at, k] = pages_of
+    for r in sets.where(F.size("categories") == 0).select("main", "pages").collect():
+        counts[r.main, -1] = r.pages
+    source = source_of([name for _, name, _ in alike], counts, np.array([times for *_, times in alike] + [1.0]), (*rates, mains, pages - mains))
+    totals, schema = source.totals, pa.schema([("category", pa.string()), ("odds", pa.list_(pa.float64()))])
+
+    def say(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            counts = np.full((n + 1, batch.num_rows), UNSEEN)
+            for k, own in enumerate(batch.column(1).to_pylist()):
+                for x in own:
+                    counts[x["main"], k] += x["pages"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(category_odds(counts, totals).T.tolist(), schema.types[1])], schema=schema)
+
+    odds = spoken.mapInArrow(say, "category string, odds array<double>")
+    members = sets.select("categories").distinct().select("categories", F.explode("categories").alias("category"))
+    return source, members.join(odds, "category").groupBy("categories").agg(F.array_sort(F.collect_list("odds")).alias("odds"))  # one element a category of the set
 
 
 NO_SOURCE = Source((0.5, 0.5), (0.01, 0.01), [], np.ones((0, 1)), np.zeros((0, 1)))
@@ -154,8 +271,12 @@ def category_says(source: Source | None, categories: list[str], n: int) -> np.nd
     if source is None:
         return np.zeros(n)
     index = {c: i for i, c in enumerate(source.categories)}
-    known = [index[c] for c in categories if c in index]
-    return source.odds[:, known].mean(axis=1) if known and len(source.odds) == n else np.zeros(n)
+    return mean_odds([source.odds[:, index[c]] for c in categories if c in index], n)
+
+
+def mean_odds(odds: list | None, n: int) -> np.ndarray:
+    """Mean of the log odds of several categories; zeros without any."""
+    return np.mean(odds, axis=0) if odds and len(odds[0]) == n else np.zeros(n)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, steps: int = 30) -> np.ndarray:
@@ -177,19 +298,19 @@ def train_chain(samples: list[tuple[str, str, str]], subjects: list[str], common
     """Chain of (language, subject, text) samples; those with a null, or of a
     subject that is not listed, are skipped.  `terms` are those of `train_terms`
     if not given."""
-    samples = [x for x in samples if all(x) and x[1] in set(subjects)][:MOST_SAMPLES]
     terms = train_terms(samples, subjects, common) if terms is None else terms
+    return fit_chain(sample_sentences(samples, subjects, terms), subjects, terms, composed, seed, source)
+
+
+def fit_chain(counted: Counter, subjects: list[str], terms: dict[str, dict[str, int]], composed: int = COMPOSED, seed: int = SEED, source: Source = NO_SOURCE) -> Chain:
+    """Chain of counted sentences, as of `sample_sentences`.  A sentence of a
+    training document is drawn from all of its language and subject."""
     slug_terms = terms.get("en", {})
     n = len(subjects)
-    index = {s: i for i, s in enumerate(subjects)}
-    pools: dict[str, dict[int, list[set[int]]]] = defaultdict(lambda: defaultdict(list))
-    blank: dict[str, list[set[int]]] = defaultdict(list)
-    for lang, subject, text in samples:
-        for words in sentences(text):
-            found = sentence_subjects(words, terms[lang])
-            pools[lang][index[subject]].append(found)
-            if not found:
-                blank[lang].append(found)
+    pools: dict[str, dict[int, tuple[list[tuple[int, ...]], np.ndarray]]] = defaultdict(dict)
+    for (lang, subject), group in groupby(sorted(counted.items()), key=lambda x: x[0][:2]):
+        found, counts = zip(*((key[2], count) for key, count in group))
+        pools[lang][subject] = found, np.cumsum(counts)
     rng = np.random.default_rng(seed)
     langs = sorted(pools)
     x, y = [], []
@@ -199,13 +320,14 @@ def train_chain(samples: list[tuple[str, str, str]], subjects: list[str], common
         chosen = [own[i] for i in rng.permutation(len(own))[: rng.integers(0, 4)]]
         total = int(rng.integers(3, 40))
         rest = 1.0
-        made: list[tuple[int | None, set[int]]] = []
+        made: list[tuple[int | None, tuple[int, ...]]] = []
         for s in chosen:
             part = rest * rng.uniform(0.05, 1.0)
             rest -= part
-            made += [(s, pools[lang][s][rng.integers(len(pools[lang][s]))]) for _ in range(round(part * total))]
+            found, ends = pools[lang][s]
+            made += [(s, found[np.searchsorted(ends, rng.integers(ends[-1]), side="right")]) for _ in range(round(part * total))]
         while len(made) < total:
-            made.append((None, set()))
+            made.append((None, ()))
         hits = np.zeros(n)
         for _, found in made:
             for i in found:
@@ -339,8 +461,9 @@ ASSIGNED = "page_id long, subject string, probability double, share double"
 
 def page_subjects(evidence: DataFrame, chain: Chain) -> DataFrame:
     """(page_id, subject, probability, share): the best label combination of each
-    row of `evidence` (as of `page_evidence` and `with_categories`), by beam
-    search over the chain, `settled` where the chain is not sure."""
+    row of `evidence` (as of `page_evidence`, with the `odds` of its categories as
+    of `count_source`, null without any), by beam search over the chain, `settled`
+    where the chain is not sure."""
     shared = evidence.sparkSession.sparkContext.broadcast(chain)
     schema = pa.schema([("page_id", pa.int64()), ("subject", pa.string()), ("probability", pa.float64()), ("share", pa.float64())])
 
@@ -350,9 +473,9 @@ def page_subjects(evidence: DataFrame, chain: Chain) -> DataFrame:
         for batch in slices(batches, 5000):
             rows: list[tuple] = []
             if batch.num_rows and n:
-                ids, totals, counts, hits, slugs, titles, categories = (c.to_pylist() for c in batch.columns)
+                ids, totals, counts, hits, slugs, titles, odds = (c.to_pylist() for c in batch.columns)
                 hits = np.array(hits).reshape(len(ids), n)
-                features = np.array([feature_row(h, t, c, a, b, n, category_says(chain.source, k, n)) for h, t, c, a, b, k in zip(hits, totals, counts, slugs, titles, categories)])
+                features = np.array([feature_row(h, t, c, a, b, n, mean_odds(k, n)) for h, t, c, a, b, k in zip(hits, totals, counts, slugs, titles, odds)])
                 labels, chances = decode(chain, features)
                 shares = hits / np.maximum(1, np.array(totals))[:, None]
                 labels = settled(labels, chances, shares)
@@ -360,24 +483,22 @@ def page_subjects(evidence: DataFrame, chain: Chain) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
-    return evidence.select("page_id", "sentences", "paragraphs", "hits", "slug", "title", "categories").mapInArrow(assign, ASSIGNED)
+    return evidence.select("page_id", "sentences", "paragraphs", "hits", "slug", "title", "odds").mapInArrow(assign, ASSIGNED)
 
 
 def assigned_subjects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Chain]:
-    """Trains on the samples and a bounded number of pages, and labels all pages."""
+    """Trains on all samples and all pages, and labels all pages."""
     common = common_words(spark, sf_dir)
     subjects = sorted({r.subject for r in small_rows(table(spark, sf_dir, "subject_areas").select("subject")) if r.subject})
-    rows = table(spark, sf_dir, "subject_samples").select("lang", "subject", "text").orderBy("sample_id").limit(MOST_SAMPLES).collect()
-    samples = [(r.lang, r.subject, r.text) for r in rows if r.lang and r.text and r.subject in subjects]
-    evidence = page_evidence(table(spark, sf_dir, "indexed_pages"), train_terms(samples, subjects, common), len(subjects), language.train_from_tables(spark, sf_dir), common)
+    samples = table(spark, sf_dir, "subject_samples")
+    terms = counted_terms(samples, subjects, common)
+    evidence = page_evidence(table(spark, sf_dir, "indexed_pages"), terms, len(subjects), language.train_from_tables(spark, sf_dir), common)
     evidence = staged(with_categories(evidence, table(spark, sf_dir, "classification_results").select("url", "category")), "subject-evidence")
-    # the lowest hashes: a part of the range of hashes that holds about so many, then exactly so many of these
-    part = min(1.0, 1.2 * MOST_PAGES / max(1, evidence.count()))
-    place = F.xxhash64("page_id").cast("double") / 2.0**64 + 0.5
-    seen = evidence.where(place <= part).orderBy(place, "page_id").limit(MOST_PAGES).select("hits", "sentences", "slug", "title", "categories").collect()
-    source = fit_source([(np.array(r.hits), r.sentences, r.slug, r.title, r.categories) for r in seen], len(subjects))
-    chain = train_chain(samples, subjects, common, source=source)
-    return page_subjects(evidence, chain), chain
+    source, odds = count_source(evidence, len(subjects))
+    chain = fit_chain(counted_sentences(samples, subjects, terms), subjects, terms, source=source)
+    odds = staged(odds, "category-odds")
+    said = evidence.join(F.broadcast(odds) if staged_bytes(odds) <= BROADCAST_BYTES else odds, "categories", "left")
+    return page_subjects(said, chain), chain
 
 
 def p5_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -251,6 +251,68 @@ def test_subject_chain_uses_cooccurrence_and_source():
     assert chances[1, 2] > chances[0, 2]
 
 
+EVIDENCE = "page_id long, url string, sentences int, paragraphs int, hits array<double>, slug array<int>, title array<int>, categories array<string>"
+
+
+def test_source_counted_over_all_pages(spark):
+    """The counts of Spark are those of `fit_source` on every row, and each set of
+    categories gets what `category_says` says of it."""
+    rng = np.random.default_rng(3)
+    n, names = 3, ["a", "b", "c", "rare", "also rare"]
+    rows = []
+    for i in range(400):
+        own = sorted(names[k] for k in rng.permutation(3)[: rng.integers(0, 3)])
+        rows.append((i, f"u{i}", int(rng.integers(0, 9)), 1, [float(x) for x in rng.integers(0, 3, n)], sorted(int(x) for x in rng.permutation(n)[: rng.integers(0, 3)]), [int(x) for x in rng.permutation(n)[:1]], own))
+    rows += [(400, "r", 4, 1, [0.0, 4.0, 4.0], [1], [2], ["a", "rare"]), (401, "s", 4, 1, [0.0, 4.0, 0.0], [], [], ["also rare"]), (0, "u0", *rows[0][2:])]
+    local = subjects.fit_source([(np.array(r[4]), r[2], r[5], r[6], r[7]) for r in rows], n)
+    source, odds = subjects.count_source(spark.createDataFrame(rows, EVIDENCE), n)
+    np.testing.assert_allclose([*source.own, *source.other], [*local.own, *local.other])
+    said = {tuple(r.categories): subjects.mean_odds(r.odds, n) for r in odds.collect()}
+    assert set(said) == {tuple(r[7]) for r in rows if r[7]}
+    for own, got in said.items():
+        np.testing.assert_allclose(got, subjects.category_says(local, list(own), n))
+    assert len(source.categories) == len(names) - 1  # the rare ones have equal counts
+    np.testing.assert_allclose(source.given.sum(axis=1), 1)
+    np.testing.assert_allclose(source.given[:, source.categories.index("also rare")], local.given[:, [local.categories.index("rare"), local.categories.index("also rare")]].sum(axis=1))
+    np.testing.assert_allclose(source.given[:, -1], local.given[:, -1])
+    source, odds = subjects.count_source(spark.createDataFrame([], EVIDENCE), n)
+    assert source.categories == [] and odds.count() == 0
+
+
+def test_subjects_learn_from_all_samples_and_pages(spark, tmp_path):
+    """More samples and pages than were once looked at: the last samples, with
+    terms that no other has, and the last page count, too."""
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+
+    first, last = "The windmill turns and it is old.", "The weaver has a loom and it is good."
+    pages = [(i, f"https://h.example/{'windmill' if i % 3 else 'x'}/{i}", "The house", first, 1) for i in range(6000)]
+    pages += [(6000, "https://h.example/x/6000", "The weaver", last, 1), (6001, None, None, None, 1)]
+    samples = [(i, *(("nl", "mills", "De molen staat aan zee.") if i % 2 else ("en", "mills", "The windmill turns and it is old."))) for i in range(20_100)]
+    samples += [(20_100 + i, "en", "weaving", "The weaver has a loom and it is good.") for i in range(2)] + [(20_103, "en", None, "x"), (20_104, None, "mills", "x"), (20_105, "en", "mills", None), (20_106, "en", "other", "The loom")]
+    write("indexed_pages", pages, PAGES)
+    write("subject_samples", samples, "sample_id long, lang string, subject string, text string")
+    write("subject_areas", [("mills",), ("weaving",)], "subject string")
+    write("common_words", [("en", w, i) for i, w in enumerate(sorted(COMMON))], "lang string, word string, freq_rank int")
+    write("classification_results", [(url, f"C{i % 2}") for i, (_, url, *_) in enumerate(pages)] + [(pages[6000][1], " Crafts ")], "url string, category string")
+    found, chain = subjects.assigned_subjects(spark, str(tmp_path))
+    assert chain.terms == {"en": {"windmill": 0, "turns": 0, "old": 0, "weaver": 1, "loom": 1, "has": 1, "good": 1}, "nl": {"molen": 0, "staat": 0, "aan": 0, "zee": 0}}
+    np.testing.assert_allclose(chain.source.own, [4001 / 6005, 2 / 6005])
+    assert sorted(chain.source.categories) == ["c0", "c1", "crafts"]
+    assert {(r.page_id, r.subject) for r in found.collect()} == {(i, "mills") for i in range(6000)} | {(6000, "weaving")}
+    model, local = language.train_from_tables(spark, str(tmp_path)), language.train([(r[1], r[3]) for r in samples], [("en", w) for w in COMMON])
+    assert model.langs == local.langs == ["en", "nl"] and (model.table == local.table).all()
+
+
+@needs_data
+def test_subjects_do_not_depend_on_the_join(spark, monkeypatch):
+    """What the categories say is the same where it is too large to be broadcast."""
+    columns = "page_id", "subject", F.round("probability", 9), F.round("share", 9)
+    found = sorted(tuple(r) for r in subjects.p5_subjects(spark, DATA).select(*columns).collect())
+    monkeypatch.setattr(subjects, "BROADCAST_BYTES", -1)
+    assert found and sorted(tuple(r) for r in subjects.p5_subjects(spark, DATA).select(*columns).collect()) == found
+
+
 @needs_data
 def test_subject_chain_held_out(spark):
     names = sorted(r.subject for r in spark.read.parquet(f"{DATA}/subject_areas.parquet").collect())
